@@ -10,7 +10,8 @@ import numpy as np
 
 #: A single space between two characters that are not white space always starts a new pre-token, so a text may be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s |[ ]\s|\A | \Z")
+#: Whether some single space is at an end of the text or beside other white space.
+_RUN = re.compile(r" (?:\s|\Z|(?<=\s )|(?<=\A ))")
 
 
 def chunks(text: str) -> list[str]:
@@ -19,17 +20,21 @@ def chunks(text: str) -> list[str]:
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes. Caches whole chunks; the caches are emptied when they grow large."""
+    """Ids of a text as little-endian unsigned 32-bit bytes. Chunks are cached in two generations of
+    `most` entries: when the younger is full it becomes the older, and what is used again moves back."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.most, self.first, self.later = most, {}, {}
+        self.most, self.first, self.later, self.older = most, {}, {}, {}
 
     def _learn(self, cache: dict, missing: list[str], lead: str) -> None:
+        older = self.older if cache is self.later else {}
+        cache.update((m, older[m]) for m in missing if m in older)
+        missing = [m for m in missing if m not in cache]
         for at in range(0, len(missing), 5000):
             part = missing[at : at + 5000]
             for m, e in zip(part, self.tok.encode_batch([lead + m for m in part], add_special_tokens=False), strict=True):
@@ -37,9 +42,10 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty."""
-        if len(self.first) + len(self.later) > self.most:
+        if len(self.later) > self.most:
+            self.later, self.older = {}, self.later
+        if len(self.first) > self.most // 10:
             self.first.clear()
-            self.later.clear()
         out: list[bytes] = []
         for text in texts:
             if not text:
