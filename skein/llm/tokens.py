@@ -29,6 +29,9 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        by_id = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        #: Whether the token of an id starts with a space (a byte-level vocabulary writes it so).
+        self.starts = np.array([by_id.get(i, "").startswith("\u0120") for i in range(max(by_id) + 1)])
         self.most, self.first, self.later, self.older = most, {}, {}, {}
 
     def _learn(self, cache: dict, missing: list[str], lead: str) -> None:
@@ -36,9 +39,23 @@ class ChunkEncoder:
         cache.update((m, older[m]) for m in missing if m in older)
         missing = [m for m in missing if m not in cache]
         for at in range(0, len(missing), 5000):
-            part = missing[at : at + 5000]
-            for m, e in zip(part, self.tok.encode_batch([lead + m for m in part], add_special_tokens=False), strict=True):
-                cache[m] = np.asarray(e.ids, dtype="<u4").tobytes()
+            cache.update(self._encoded(missing[at : at + 5000], lead))
+
+    def _encoded(self, part: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of each chunk. Chunks without white space that have a leading space are encoded as one text: there every id whose
+        token starts with a space starts a chunk."""
+        plain = [m for m in part if len(m.split()) == 1] if lead == " " else []
+        out: dict[str, bytes] = {}
+        if plain:
+            ids = np.asarray(self.tok.encode_batch_fast([lead + lead.join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(plain):
+                raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+                out = {m: raw[a:b] for m, a, b in zip(plain, [0, *ends[:-1]], ends, strict=True)}
+        rest = [m for m in part if m not in out]
+        for m, e in zip(rest, self.tok.encode_batch([lead + m for m in rest], add_special_tokens=False), strict=True):
+            out[m] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """A null text counts as empty."""
@@ -54,11 +71,9 @@ class ChunkEncoder:
             head, *rest = chunks(text)
             if head not in self.first:
                 self._learn(self.first, [head], "")
-            try:
-                out.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
-            except KeyError:
-                self._learn(self.later, list({r for r in rest if r not in self.later}), " ")
-                out.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
+            if missing := set(rest).difference(self.later):
+                self._learn(self.later, list(missing), " ")
+            out.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
         return out
 
 
