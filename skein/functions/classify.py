@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skein.functions.strings import first_present, has_any, let, present, wide_trim
-from skein.functions.text import is_truncated, strip_code_fence, tag_slugs
+from skein.functions.text import is_truncated, strip_code_fence
 from skein.functions.url import is_video_url, path_of
 
 # ---- fixed values ----------------------------------------------------------------------------------------------------
@@ -167,5 +167,3 @@ def analysis_images(snapshot: Column, media: Column, intent: Column, most: int =
     kept = F.slice(F.array_distinct(F.filter(every, lambda u: u.isNotNull() & (u != ""))), 1, most)
     return F.when(F.coalesce(intent, F.lit("")) == "article", F.array().cast("array<string>")).otherwise(kept)
 
-
-__all__ = [n for n in dir() if n.startswith(("is_", "page_", "social_", "fallback_", "normalize_", "effective_", "analysis_", "linkedin_"))] + ["tag_slugs"]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.strings import first_present, group, let, present, wide_trim
+from skein.functions.strings import group, let, present, wide_trim
 
 # ---- fixed values ----------------------------------------------------------------------------------------------------
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -313,5 +313,3 @@ def readable(found: Column, least_words: int = 80, most_links: float = 0.55) ->
     """HF3: the article where it is long enough and not mostly links. The guards are exact, the choice of the container is HF2's."""
     return F.when((found["words"] >= least_words) & (found["link_density"] <= most_links), found)
 
-
-__all__ = ["article", "article_of", "attribute", "best_source", "element_count", "element_text", "first_paragraph", "first_present", "json_ld", "link", "links", "meta", "metas", "readable", "sanitize", "to_markdown", "without_comments"]

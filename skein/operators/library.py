@@ -57,7 +57,7 @@ def served(df: DataFrame) -> DataFrame:
 
 
 def page_bounds(limit: Column, offset: Column) -> tuple[Column, Column]:
-    """P20: limit 250 if it is no number or 0, else 1 to 500; offset 0 if it is no number, at least 0."""
+    """P20: limit 250 if it is no number, else 1 to 500; offset 0 if it is no number, at least 0."""
     number = lambda c: F.nullif(F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("long")
     return F.least(F.lit(500), F.greatest(F.lit(1), F.coalesce(number(limit), F.lit(250)))), F.greatest(F.lit(0), F.coalesce(number(offset), F.lit(0)))
 

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import links, pages, state, texts
+
+MODULES = (links, texts, pages, state)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries without SQL are tested against literal rows and plain Python."""
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
