@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,12 @@ def test_proximity(spark):
 
 def test_names():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries()] == list(range(1, 11))
+
+
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for size, cut in ((5, 1), (150, 20), (4000, 900)):
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = np.unique(np.concatenate((a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64))))
+        bits = np.bitwise_count(np.frombuffer(neardup.parity(a), np.uint8) ^ np.frombuffer(neardup.parity(b), np.uint8)).sum()
+        assert bits <= len(np.setxor1d(a, b))
