@@ -33,10 +33,22 @@ def doc_bytes(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+#: Caches that a Python worker keeps for its next tasks: name -> how to empty it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(name: str | None) -> None:
+    """Empties all caches but this one: workers are shared by all operators of an application, and only one works at a time."""
+    for k, empty in CACHES.items():
+        if k != name:
+            empty()
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, cache: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch. cache: the one that the function uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_cache(cache)
         for b in batches:
             if b.num_rows and (out := f(b)) is not None and out.num_rows:
                 yield out
@@ -44,6 +56,11 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def columns_of(df: DataFrame) -> str:
+    """The schema of a frame as text."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Runs of neighbouring items whose sizes add up to about `most`; an item is never cut."""
     start = total = 0

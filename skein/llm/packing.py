@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, clos
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     ship(docs.sparkSession)
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES, "tokens")
 
 
 def shortest_pack_first(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_batches
+from skein.llm.common import columns_of, map_batches
 from skein.llm.tokens import ChunkEncoder, chunks, encoder
 from skein.session import ship
 
@@ -111,8 +111,7 @@ def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
         leaves = [pa.array([getattr(t, k)[t.width : t.width + t.n] for t in trees], pa.list_(pa.int32())) for k in ("chars", "tokens")]
         return pa.RecordBatch.from_arrays([*b.columns, *leaves], [*keep, "leaf_chars", "leaf_tokens"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, run, f"{fields}, leaf_chars array<int>, leaf_tokens array<int>")
+    return map_batches(docs, run, f"{columns_of(docs)}, leaf_chars array<int>, leaf_tokens array<int>", "tokens")
 
 
 def apply_edits(trees: DataFrame, tokenizer: str, text: bool = False) -> DataFrame:
@@ -136,7 +135,7 @@ def apply_edits(trees: DataFrame, tokenizer: str, text: bool = False) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 
     schema = ", ".join(f"{c} long" for c in names[:7]) + ", leaf_chars array<int>, leaf_tokens array<int>" + ", text string" * text
-    return map_batches(trees.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits", "leaf_chars", "leaf_tokens"), run, schema)
+    return map_batches(trees.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits", "leaf_chars", "leaf_tokens"), run, schema, "tokens")
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from skein.llm.common import CACHES
+
 #: A single space between two characters that are not white space always starts a new pre-token, so a text may be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Whether some single space is at an end of the text or beside other white space.
@@ -81,3 +83,6 @@ class ChunkEncoder:
 def encoder(path: str) -> ChunkEncoder:
     """One for each Python worker and vocabulary."""
     return ChunkEncoder(path)
+
+
+CACHES["tokens"] = encoder.cache_clear

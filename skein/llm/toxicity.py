@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import doc_bytes, map_batches, words
+from skein.llm.common import columns_of, doc_bytes, map_batches, words
 from skein.session import drop, materialize, ship
 
 SAMPLE, VOCABULARY, FOLDS = 20_000, 768, 4
@@ -171,19 +171,23 @@ def _featurizer(vocab: dict[bytes, int], names: list[str]):
     return run
 
 
+def _probabilities(texts: pa.Array, chain: Chain) -> list[list[float]]:
+    rows, vocab = [], chain.vocabulary
+    for t in texts:
+        text = t.as_py() or b""
+        w = words(text)
+        rows.append(chain.probabilities(sorted(vocab[x] for x in vocab.keys() & w), ratios(text, w)))
+    return rows
+
+
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, a probability for each category, and toxic."""
     names = [f"p_{k}" for k in chain.names]
     at = chain.names.index("toxic")
     ship(docs.sparkSession)
-    vocab = chain.vocabulary
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t in b.column(1):
-            text = t.as_py() or b""
-            w = words(text)
-            rows.append(chain.probabilities(sorted(vocab[x] for x in vocab.keys() & w), ratios(text, w)))
+        rows = _probabilities(b.column(1), chain)
         cols = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([r[at] >= chain.thresholds[at] for r in rows], pa.bool_())], ["doc_id", *names, "toxic"])
 
@@ -191,6 +195,13 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, chain: Chain) -> DataFrame:
-    """All rows and columns of the documents that are not toxic."""
-    bad = score(docs, chain).where("toxic").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
+    """All rows and columns of the documents that are not toxic, in one pass: a row's own text decides."""
+    at = chain.names.index("toxic")
+    ship(docs.sparkSession)
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # names with dots can't be mapped
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = _probabilities(b.column("text").cast(pa.binary()), chain)
+        return b.filter(pa.array([r[at] < chain.thresholds[at] for r in rows], pa.bool_()))
+
+    return map_batches(plain, run, columns_of(plain)).toDF(*docs.columns)
