@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.strings import SPACES, WS, group, has_any, let, present, wide_trim
+from skein.functions.strings import SPACE_CHARS, SPACES, WS, group, has_any, let, present, wide_trim
 
 # ---- fixed values ----------------------------------------------------------------------------------------------------
 NAMED_ENTITIES = {
@@ -26,6 +26,7 @@ TITLE_TAIL = rf"(?i){WS}*[|•-]{WS}*(?:Instagram(?:{WS}+photos{WS}+and{WS}+vide
 MORE_BUTTON = rf"(?i){WS}*(?:\.\.\.{WS}*)?(?:Read{WS}*more|Show{WS}*more|Show{WS}*less|See{WS}*more){WS}*\.?{WS}*\z"
 DOT_LINE = rf"\r?\n{WS}*[.•-]{WS}*"
 DOT_RUN = rf"{WS}*\.{WS}*\.{WS}*\.[{SPACES}.]*"
+THREE_DOTS = rf"\.{WS}*\.{WS}*\."
 BLOCKED_TITLES = [
     "access denied", "access to this page has been denied", "403 forbidden", "403 - forbidden", "forbidden", "just a moment...",
     "attention required! | cloudflare", "security check", "robot or human?", "bot verification", "please verify you are a human",
@@ -84,7 +85,9 @@ def strip_title_affixes(c: Column) -> Column:
 
 def remove_dot_spam(c: Column) -> Column:
     """TF4: lines of a lone dot, and runs of three or more dots."""
-    return wide_trim(F.regexp_replace(F.regexp_replace(c, DOT_LINE, "\n"), DOT_RUN, " "))
+    # the test starts at a dot, which is much rarer than white space
+    squeeze = lambda v: F.when(v.rlike(THREE_DOTS), F.regexp_replace(v, DOT_RUN, " ")).otherwise(v)
+    return wide_trim(let(F.regexp_replace(c, DOT_LINE, "\n"), squeeze))
 
 
 def strip_outer_quotes(c: Column) -> Column:
@@ -107,7 +110,8 @@ def clean_title(c: Column) -> Column:
 
 def normalize_paragraphs(c: Column) -> Column:
     """TF7: trimmed lines, at most one blank line, no 'Read more' at the end."""
-    out = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), MORE_BUTTON, "")
+    ends = lambda v: F.lower(F.right(F.rtrim(v, F.lit(SPACE_CHARS + ".")), F.lit(4))).isin("more", "less")
+    out = let(F.replace(c, F.lit("\r\n"), F.lit("\n")), lambda v: F.when(ends(v), F.regexp_replace(v, MORE_BUTTON, "")).otherwise(v))
     out = F.array_join(F.transform(F.split(out, "\n"), wide_trim), "\n")
     return wide_trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
