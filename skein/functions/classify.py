@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.strings import first_present, has_any, let, present, wide_trim
 from skein.functions.text import is_truncated, strip_code_fence
-from skein.functions.url import is_video_url, path_of
+from skein.functions.url import host_of, is_video_url, path_of
 
 # ---- fixed values ----------------------------------------------------------------------------------------------------
 KEYWORDS = (
@@ -19,7 +19,14 @@ QUOTA_MARKS = ["limit: 20", "generaterequestsperday", "resource_exhausted", "quo
 AVATAR_MARKS = ["t51.82787-19", "s100x100", "s150x150", "profile_pic"]
 AUTH_PATH = r"/(?:login|signin|signup|auth|account|register|join|session|recover|forgot)"
 TOOL_PATH = r"/(?:components|docs|tools|ui|library|resources|templates|icons|cheatsheet|showcase)"
-X_RESERVED = ["home", "explore", "search", "settings", "messages", "notifications", "i", "intent", "share", "login", "signup", "tos", "privacy", "about", "hashtag"]
+X_RESERVED = [
+    "home", "explore", "notifications", "messages", "search", "settings", "i", "hashtag", "login", "signup", "compose", "tos", "privacy", "rules", "help", "intent",
+    "share", "account",
+]
+LINKEDIN_TYPES = {
+    "linkedin_topic_collection": ["/top-content/", "/topic/"], "linkedin_news_story": ["/news/"], "linkedin_newsletter": ["/newsletters/", "/newsletter/"], "linkedin_article": ["/pulse/", "/article/"],
+}
+X_PROFILE_PAGES = ["header_photo", "photo", "about", "following", "followers", "verified_followers"]
 # ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -84,19 +91,24 @@ def is_quota_error(message: Column) -> Column:
     return F.coalesce(has_any(F.lower(message), *QUOTA_MARKS), F.lit(False))
 
 
-def is_x_profile(url: Column) -> Column:
-    """CF8: a link of one path segment that is a user name."""
-    parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    return F.coalesce((F.size(parts) == 1) & ~F.lower(parts[0]).isin(X_RESERVED), F.lit(False))
+def x_profile_user(url: Column) -> Column:
+    """CF8: the user whose profile a link shows; null for posts, system pages and other hosts."""
+
+    def run(parts: Column) -> Column:
+        shape = (F.size(parts) == 1) | ((F.size(parts) == 2) & F.lower(F.try_element_at(parts, F.lit(2))).isin(X_PROFILE_PAGES))
+        user = F.try_element_at(parts, F.lit(1))
+        return F.when(shape & ~F.lower(user).isin(X_RESERVED) & user.rlike(r"^[a-zA-Z0-9_]{1,30}\z"), user)
+
+    return F.when(host_of(url).rlike(r"(?:^|\.)(?:twitter|x)\.com\z"), let(F.filter(F.split(path_of(url), "/"), lambda p: p != ""), run))
 
 
 def linkedin_type(url: Column) -> Column:
     """CF9."""
     p = F.lower(path_of(url))
-    return (
-        F.when(has_any(p, "/jobs/"), F.lit("linkedin_job")).when(p.contains("/pulse/"), F.lit("linkedin_article"))
-        .when(p.contains("/in/"), F.lit("linkedin_profile")).when(p.contains("/company/"), F.lit("linkedin_company")).otherwise(F.lit("linkedin_post"))
-    )
+    out = F.when(p.isNull(), F.lit("linkedin_post"))
+    for label, marks in LINKEDIN_TYPES.items():
+        out = out.when(has_any(p, *marks), F.lit(label))
+    return out.otherwise(F.lit("linkedin_post"))
 
 
 def is_reel(url: Column) -> Column:

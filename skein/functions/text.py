@@ -27,6 +27,16 @@ MORE_BUTTON = rf"(?i){WS}*(?:\.\.\.{WS}*)?(?:Read{WS}*more|Show{WS}*more|Show{WS
 DOT_LINE = rf"\r?\n{WS}*[.•-]{WS}*"
 DOT_RUN = rf"{WS}*\.{WS}*\.{WS}*\.[{SPACES}.]*"
 THREE_DOTS = rf"\.{WS}*\.{WS}*\."
+SLUG = r"(?i)/(?:posts|pulse)/([a-zA-Z0-9-]+?)(?:_[a-z0-9]+|-activity|-vanderburg|-9vkfc|/|\z)"
+LINKEDIN_COUNT = rf"(?i){WS}*\|{WS}*[0-9,.]+[KMB]?{WS}*comments(?:{WS}+on{WS}+LinkedIn)?"
+LINKEDIN_TAIL = rf"(?i){WS}*\|{WS}*LinkedIn{WS}*\z"
+LINKEDIN_POSTED = rf"(?i){WS}*\|{WS}*[^|]*?(?:posted|on LinkedIn|LinkedIn).*\z"
+POST_FOOTER = rf"—{WS}*[^@]+?\(@[a-zA-Z0-9_]+\)([^@]*)\z"
+POST_LINKS = [
+    r'(?i)<a[^>]*href="[^"]*pic\.(?:twitter|x)\.com[^"]*"[^>]*>.*?</a>', r'(?i)(?:https?://)?pic\.(?:twitter|x)\.com/[^\s<>"]+',
+    r'(?i)<a[^>]*href="[^"]*t\.co[^"]*"[^>]*>.*?</a>', r'(?i)https?://t\.co/[^\s<>"]+', r'(?i)(?:^|\s)t\.co/[^\s<>"]+',
+    r'(?i)https?://(?:twitter|x)\.com/[a-zA-Z0-9_]+/status/[0-9]+[^\s<>"]*',
+]
 BLOCKED_TITLES = [
     "access denied", "access to this page has been denied", "403 forbidden", "403 - forbidden", "forbidden", "just a moment...",
     "attention required! | cloudflare", "security check", "robot or human?", "bot verification", "please verify you are a human",
@@ -140,33 +150,65 @@ def title_case(c: Column) -> Column:
 
 
 def name_from_slug(url: Column) -> Column:
-    """TF14: 'jane-doe' of linkedin.com/in/jane-doe-1a2b3c or posts/jane-doe_topic becomes 'Jane Doe'; null without one."""
-    slug = group(url, r"(?i)linkedin\.com/(?:in|posts)/([a-zA-Z0-9%-]+)")
-    words = F.regexp_replace(F.regexp_replace(slug, r"-[0-9a-f]*[0-9][0-9a-f]*\z", ""), "[-_]+", " ")
-    return present(title_case(words))
+    """TF14: the author in the link of a post: posts/jane-doe_topic becomes 'Jane Doe'; null without one of 3 to 49 characters."""
+    words = wide_trim(F.replace(group(url, SLUG), F.lit("-"), F.lit(" ")))
+    return F.when(F.length(words).between(3, 49), title_case(words))
+
+
+def clean_linkedin_text(c: Column) -> Column:
+    """TF14: without tags, JSON escapes, counts of comments and the site's name; null stays null."""
+    out = F.regexp_replace(c, "<[^>]*>", " ")
+    out = F.replace(F.replace(out, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit(""))
+    out = F.rtrim(F.ltrim(out, F.lit(SPACE_CHARS + '"\\')), F.lit(SPACE_CHARS + '"\\}'))
+    for p in (LINKEDIN_COUNT, LINKEDIN_TAIL):
+        out = F.regexp_replace(out, p, "")
+    return wide_trim(F.regexp_replace(out, "[ \\t]+", " "))
+
+
+def clean_linkedin_title(c: Column) -> Column:
+    """TF14."""
+    return wide_trim(F.regexp_replace(F.regexp_replace(c, LINKEDIN_POSTED, ""), rf"(?i){WS}*\|{WS}*LinkedIn.*\z", ""))
 
 
 def clean_media_url(c: Column) -> Column:
     """TF13: JSON and HTML escapes in a media link become characters; null where nothing is left."""
-    out = F.replace(F.replace(c, F.lit("\\u0026"), F.lit("&")), F.lit("\\/"), F.lit("/"))
-    return present(F.replace(F.replace(out, F.lit("&amp;"), F.lit("&")), F.lit("\\"), F.lit("")))
+    out = F.replace(F.rtrim(c, F.lit('\\"')), F.lit("\\u0026"), F.lit("&"))
+    out = F.replace(F.replace(out, F.lit("&amp;"), F.lit("&")), F.lit("\\"), F.lit(""))
+    return present(F.regexp_replace(F.regexp_replace(out, "(?i)u00253D", "%3D"), r"(?i)u003C.*\z", ""))
 
 
 def clean_post_text(c: Column) -> Column:
-    """TF10, TF11: the text of an embedded post: breaks become lines; tags, trailing attributions and short media links go."""
-    out = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n")
-    out = F.regexp_replace(out, r"<[^>]*>", "")
-    out = F.replace(F.replace(out, F.lit("\\n"), F.lit("\n")), F.lit("\\/"), F.lit("/"))
-    out = unescape_html(out)
-    out = F.regexp_replace(out, r"(?i)(?:https?://)?(?:pic\.twitter\.com|t\.co)/[a-z0-9]+", "")
-    out = F.regexp_replace(out, rf"{WS}+—{WS}[^\n]*\(@[a-zA-Z0-9_]+\)[^\n]*\z", "")
-    return clean_description(out)
+    """TF10: the text of an embedded post: breaks become lines; attribution, picture and short links, links to posts and tags go."""
+    out = F.regexp_replace(unescape_html(c), r"(?i)<br\s*/?>", "\n")
+    # what follows the author's handle may only be tags, a date and the like
+    footer = F.regexp_replace(F.regexp_extract(out, POST_FOOTER, 1), "<[^>]+>", "")
+    out = F.when(footer.rlike(rf"^[a-zA-Z0-9{SPACES},.:]*\z"), F.regexp_replace(out, POST_FOOTER, "")).otherwise(out)
+    for p in POST_LINKS:
+        out = F.regexp_replace(out, p, "")
+    return clean_description(F.regexp_replace(out, "<[^>]+>", " "))
 
 
 def clean_reddit_title(c: Column) -> Column:
-    """TF15: without 'r/sub -' and 'From the sub community on Reddit'; null for the site's own name."""
-    out = F.regexp_replace(wide_trim(c), r"(?i)^(?:r/[a-z0-9_]+|[a-z0-9_]+)\s+on\s+reddit:\s*|\s*[:|-]\s*r/[a-z0-9_]+\z", "")
-    return F.when(~F.lower(out).rlike(r"^reddit( - .*)?\z|^from the .* community on reddit"), present(out))
+    """TF15: without 'From the x community on Reddit:' and ': r/x'; '' for the community's own title."""
+    v = wide_trim(c)
+    bare = F.regexp_replace(F.regexp_replace(v, rf"(?i)^From the [^:]+ community on Reddit:{WS}*", ""), rf"(?i){WS}*:{WS}*r/[a-zA-Z0-9_]+\z", "")
+    return F.when(v.rlike(r"(?i)^From the .* community on Reddit\z"), F.lit("")).otherwise(wide_trim(bare))
+
+
+def clean_pin_title(c: Column) -> Column:
+    """TF16."""
+    return F.when(c.isNull() | (c == ""), F.lit("Pinterest Pin")).otherwise(wide_trim(F.regexp_replace(c, rf"(?i){WS}*\|{WS}*Pinterest\z", "")))
+
+
+def reddit_subreddit(url: Column, title: Column) -> Column:
+    """CF11: r/name by the link, else by the page's title."""
+    return F.concat(F.lit("r/"), F.coalesce(group(url, "(?i)/r/([a-zA-Z0-9_]+)"), group(title, "(?i)From the ([a-zA-Z0-9_]+) community on Reddit"), F.lit("reddit")))
+
+
+def reddit_comment_id(url: Column) -> Column:
+    """CF11: the comment that a link points to; null for a post."""
+    bare = F.regexp_replace(F.regexp_extract(url, "^([^?#]*)", 1), r"/+\z", "")
+    return F.coalesce(group(bare, r"(?i)/comments/[a-zA-Z0-9_]+/(?:comment|context|_)/([a-zA-Z0-9]+)"), group(bare, r"(?i)/comments/[a-zA-Z0-9_]+/[^/]+/([a-zA-Z0-9]+)\z"), group(url, "(?i)[?&]comment=([a-zA-Z0-9]+)"))
 
 
 def upgrade_avatar(c: Column) -> Column:

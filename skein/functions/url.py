@@ -135,11 +135,11 @@ def is_shortlink(url: Column) -> Column:
 
 
 def tweet_id(url: Column) -> Column:
-    return group(url, r"(?i)/status(?:es)?/([0-9]+)")
+    return group(url, r"(?i)status(?:es)?/([0-9]+)")
 
 
 def youtube_id(url: Column) -> Column:
-    return group(url, r"(?i)(?:v=|/v/|/embed/|/shorts/|/live/|youtu\.be/)([a-zA-Z0-9_-]{11})")
+    return group(url, r"""(?i)(?:youtube\.com/(?:[^/]+/.+/|(?:v|e(?:mbed)?|shorts)/|.*[?&]v=)|youtu\.be/)([^"&?/\s]{11})""")
 
 
 def content_keys(url: Column) -> Column:

@@ -21,6 +21,13 @@ created_utc:double,thumbnail:string,media:struct<reddit_video:struct<fallback_ur
 preview:struct<images:array<struct<source:struct<url:string>>>>,sr_detail:struct<community_icon:string,icon_img:string>>>"""
 PLAYER = """videoDetails struct<title:string,shortDescription:string,author:string,viewCount:string>,
 microformat struct<playerMicroformatRenderer:struct<title:struct<simpleText:string>,description:struct<simpleText:string>,ownerChannelName:string,ownerProfileUrl:string,viewCount:string,likeCount:string,publishDate:string,uploadDate:string>>"""
+SYNDICATED = """text string, created_at string, favorite_count string, conversation_count string, photos array<struct<url:string>>,
+user struct<name:string,screen_name:string,profile_image_url_https:string,profile_image_url:string,verified:boolean,is_blue_verified:boolean>,
+article struct<title:string,preview_text:string,cover_media:struct<media_info:struct<original_img_url:string>>>"""
+_EXTENDED = "array<struct<type:string,url:string,thumbnail_url:string>>"
+MIRRORED = f"""user_name string, user_screen_name string, user_profile_image_url string, verified boolean, user_verified boolean, text string, date string, replies string, retweets string, likes string,
+media_extended {_EXTENDED}, mediaURLs array<string>, qrt struct<media_extended:{_EXTENDED},mediaURLs:array<string>>"""
+MANIFEST = "transcribedDocumentUrl string, perResolutions array<struct<width:int,height:int,imageManifestUrl:string>>"
 OEMBED = "title string, author_name string, author_url string, html string, thumbnail_url string"
 
 
@@ -130,3 +137,92 @@ def embed_post_record(link: Column, oembed: Column) -> Column:
         return F.struct(F.concat(name, F.lit(" ("), F.coalesce(handle, F.lit("@user")), F.lit(") on X")).alias("title"), text.clean_post_text(body).alias("description"), name.alias("author_name"), handle.alias("author_handle"), F.try_to_timestamp(day, F.lit("MMMM d, yyyy")).alias("posted_at"))
 
     return let(F.from_json(oembed, OEMBED), lambda o: F.when(present(o["html"]).isNotNull(), run(o)))
+
+
+def _counted(**counts: Column) -> Column:
+    """Metrics from counts written as text; missing ones are left out."""
+    values = [F.when(c.isNotNull(), numeric.parse_count_round(c).cast("double")) for c in counts.values()]
+    return numeric.sanitize_metrics(F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*values)))
+
+
+def _headline(name: Column, handle: Column) -> Column:
+    return F.concat(name, F.lit(" ("), handle, F.lit(") on X"))
+
+
+def _handle(screen_name: Column) -> Column:
+    return F.concat(F.lit("@"), F.coalesce(present(screen_name), F.lit("user")))
+
+
+def syndicated_record(raw: Column) -> Column:
+    """SRC4: a post's record from a syndication answer."""
+
+    def run(t: Column) -> Column:
+        user, article = t["user"], t["article"]
+        name, handle = F.coalesce(present(user["name"]), F.lit("User")), _handle(user["screen_name"])
+        cover = article["cover_media"]["media_info"]["original_img_url"]
+        links = F.array_distinct(F.array_compact(F.concat(F.array(cover), F.coalesce(F.transform(t["photos"], lambda p: p["url"]), _none("array<string>")))))
+        preview = text.clean_description(article["preview_text"])
+        return F.struct(
+            F.coalesce(text.clean_title(article["title"]), _headline(name, handle)).alias("title"), F.coalesce(preview, text.clean_post_text(t["text"])).alias("description"), name.alias("author_name"), handle.alias("author_handle"),
+            text.upgrade_avatar(first_present(user["profile_image_url_https"], user["profile_image_url"])).alias("avatar_url"), (F.coalesce(user["verified"], F.lit(False)) | F.coalesce(user["is_blue_verified"], F.lit(False))).alias("verified"),
+            _counted(likes=t["favorite_count"], replies=t["conversation_count"]).alias("metrics"), _some(F.transform(links, lambda u: F.struct(F.lit("image").alias("type"), u.alias("url")))).alias("media"),
+            F.try_to_timestamp(t["created_at"]).alias("posted_at"), F.when(article.isNotNull(), F.lit("article")).alias("type"), preview.alias("article_content"),
+        )
+
+    return let(F.from_json(raw, SYNDICATED), lambda t: F.when(t["user"].isNotNull(), run(t)))
+
+
+def mirrored_record(raw: Column) -> Column:
+    """SRC5: a post's record from a mirror's answer; a quoted post's media count where the post has none."""
+
+    def media_of(t: Column) -> Column:
+        extended = F.transform(F.filter(t["media_extended"], lambda m: m["url"].isNotNull()), lambda m: F.struct(F.when(m["type"].isin("video", "gif"), F.lit("video")).otherwise(F.lit("image")).alias("type"), m["url"].alias("url")))
+        return F.coalesce(extended, F.transform(t["mediaURLs"], lambda u: F.struct(F.lit("image").alias("type"), u.alias("url"))), _none(MEDIA))
+
+    def run(t: Column) -> Column:
+        name, handle, own = present(t["user_name"]), _handle(t["user_screen_name"]), media_of(t)
+        media = F.when(F.size(own) > 0, own).otherwise(media_of(t["qrt"]))
+        moving = F.try_element_at(F.filter(F.coalesce(t["media_extended"], t["qrt"]["media_extended"]), lambda m: m["type"].isin("video", "gif")), F.lit(1))
+        thumb = F.coalesce(moving["thumbnail_url"], F.try_element_at(t["mediaURLs"], F.lit(1)), F.try_element_at(t["qrt"]["mediaURLs"], F.lit(1)))
+        return F.struct(
+            _headline(name, handle).alias("title"), text.clean_post_text(t["text"]).alias("description"), name.alias("author_name"), handle.alias("author_handle"), text.upgrade_avatar(t["user_profile_image_url"]).alias("avatar_url"),
+            (F.coalesce(t["verified"], F.lit(False)) | F.coalesce(t["user_verified"], F.lit(False))).alias("verified"), _counted(replies=t["replies"], reposts=t["retweets"], likes=t["likes"]).alias("metrics"), _some(media).alias("media"),
+            F.when(F.exists(media, lambda m: m["type"] == "video"), thumb).alias("video_thumbnail"), F.try_to_timestamp(F.regexp_replace(t["date"], r"^[A-Za-z]{3} ([A-Za-z]{3} .*)\z", "$1"), F.lit("MMM dd HH:mm:ss Z yyyy")).alias("posted_at"),
+        )
+
+    return let(F.from_json(raw, MIRRORED), lambda t: F.when(present(t["user_name"]).isNotNull(), run(t)))
+
+
+def document_manifest(raw: Column) -> Column:
+    """SRC16: struct(pdf_url, pages_url) of a document: slides of 700 to 1000 pixels, else the first wider ones, else the last."""
+
+    def run(m: Column) -> Column:
+        every = m["perResolutions"]
+        first = lambda test: F.try_element_at(F.filter(every, test), F.lit(1))["imageManifestUrl"]
+        return F.struct(m["transcribedDocumentUrl"].alias("pdf_url"), F.coalesce(first(lambda r: r["width"].between(700, 1000)), first(lambda r: r["width"] > 1000), F.try_element_at(every, F.lit(-1))["imageManifestUrl"]).alias("pages_url"))
+
+    return let(F.from_json(raw, MANIFEST), run)
+
+
+def pin_record(html: Column) -> Column:
+    """JF2, TF16: a pin's record from the JSON-LD of its page, by the first item of each kind: videos and postings."""
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    person = "struct<name:string,alternateName:string,url:string>"
+    kind = f"array<struct<`@type`:string,contentUrl:string,embedUrl:string,thumbnailUrl:string,name:string,description:string,uploadDate:string,creator:{person},image:string,headline:string,datePublished:string,author:{person}>>"
+
+    def items(s: Column) -> Column:
+        v = F.try_parse_json(s)
+        return F.coalesce(F.from_json(F.when(F.schema_of_variant(v).startswith("ARRAY"), s).otherwise(F.concat(F.lit("["), s, F.lit("]"))), kind), _none(kind))
+
+    def run(found: Column) -> Column:
+        of = lambda t: F.try_element_at(F.filter(found, lambda i: i["@type"] == t), F.lit(1))
+        video, post = of("VideoObject"), of("SocialMediaPosting")
+        who = F.coalesce(post["author"], video["creator"])
+        clip = first_present(video["contentUrl"], video["embedUrl"])
+        return F.struct(
+            text.clean_pin_title(first_present(video["name"], post["headline"])).alias("title"), present(video["description"]).alias("description"), first_present(who["name"], who["alternateName"]).alias("author_name"),
+            F.nullif(F.regexp_extract(who["url"], r"(?i)pinterest\.[a-z.]+/([^/?]+)", 1), F.lit("")).alias("author_username"), clip.alias("video_url"), present(video["thumbnailUrl"]).alias("video_thumbnail"),
+            present(post["image"]).alias("image"), first_present(video["uploadDate"], post["datePublished"]).alias("posted_at"),
+        )
+
+    return let(F.flatten(F.transform(scripts, items)), run)

@@ -171,7 +171,7 @@ SQL = {
     "url_dedup_canonical": f"WITH {canonical_ctes(LINKS_SQL)} SELECT canonical, count(*) AS n, arg_min(url, id) AS first_url, max(id) AS newest_id FROM canon GROUP BY canonical",
     "url_content_groups": GROUPS_SQL,
     "site_name": SITE_SQL,
-    "link_ids": f"SELECT id, coalesce({got('url', url.LINKEDIN_ID)}, {got('url', url.LINKEDIN_ID_LOOSE)}) AS linkedin_id, regexp_matches(lower({trim('url')}), {lit(url.SHORTLINKS)}) AS shortlink, {got('url', '(?i)/status(?:es)?/([0-9]+)')} AS tweet_id, regexp_matches(url, '(?i)/(?:reels?|share/[rv]|videos?|watch)') AS reel FROM ({LINKS_SQL})",
+    "link_ids": f"SELECT id, coalesce({got('url', url.LINKEDIN_ID)}, {got('url', url.LINKEDIN_ID_LOOSE)}) AS linkedin_id, regexp_matches(lower({trim('url')}), {lit(url.SHORTLINKS)}) AS shortlink, {got('url', '(?i)status(?:es)?/([0-9]+)')} AS tweet_id, regexp_matches(url, '(?i)/(?:reels?|share/[rv]|videos?|watch)') AS reel FROM ({LINKS_SQL})",
     "metric_parse": METRIC_SQL,
     "metrics_sanitize": """WITH n AS (SELECT user_id, event_type, sum(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END) AS n FROM events GROUP BY ALL)
 SELECT user_id, coalesce(max(n) FILTER (event_type <> 'click'), 0) = 0 AS empty, CASE WHEN coalesce(max(n) FILTER (event_type <> 'click'), 0) = 0 THEN 0 ELSE count(*) FILTER (event_type <> 'click') END AS n_kept,

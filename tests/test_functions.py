@@ -66,13 +66,20 @@ CASES = {
     "platform": (url.platform, {"t.co/x": "x", "https://netflix.com/": "generic", "https://in.pinterest.co.uk/": "pinterest", "https://redd.it/a": "reddit", "fb.me/x": "facebook", None: "generic"}),
     "truncated": (text.is_truncated, {"abc…": True, "abc...": True, "a" * 257 + "...": False, "abc": False, None: False}),
     "password": (net.password_ok, {"Abcdefg1": True, "abcdefg1": False, "Abcdef1": False, None: False}),
-    "slug": (text.name_from_slug, {"https://www.linkedin.com/in/jane-doe-1a2b3c/": "Jane Doe", "https://x.org": None}),
+    "slug": (text.name_from_slug, {"https://www.linkedin.com/posts/jane-doe_topic-1": "Jane Doe", "https://www.linkedin.com/posts/jane-activity-7": "Jane", "https://x.org": None}),
+    "post": (text.clean_post_text, {"Hi<br>there https://t.co/abc &mdash; Ann B (@ann) <a href='u'>March 21, 2006</a>": "Hi\nthere", "keep — this (@x) & more!": "keep — this (@x) & more!", None: None}),
+    "linkedin_text": (text.clean_linkedin_text, {'"A <b>post</b>\\nmore | 12 comments on LinkedIn"}': "A post \nmore", "T | LinkedIn": "T", None: None}),
+    "reddit_title": (text.clean_reddit_title, {"From the spark community on Reddit": "", "From the spark community on Reddit: Hello": "Hello", "Hello : r/spark": "Hello"}),
+    "pin": (text.clean_pin_title, {"Cake | Pinterest": "Cake", "": "Pinterest Pin", None: "Pinterest Pin"}),
+    "media_url": (text.clean_media_url, {'https:\\/\\/a.org\\/x?y=1\\u0026z=2\\"': "https://a.org/x?y=1&z=2", "": None}),
+    "comment": (text.reddit_comment_id, {"https://reddit.com/r/a/comments/p1/comment/c1/?x": "c1", "https://reddit.com/r/a/comments/p1/title/c2": "c2", "https://reddit.com/r/a/comments/p1?comment=c3": "c3", "https://reddit.com/r/a/comments/p1/": None}),
+    "profile": (classify.x_profile_user, {"https://x.com/NASA": "NASA", "https://twitter.com/a/followers": "a", "https://x.com/home": None, "https://x.com/a/status/1": None, "https://o.org/a": None}),
     "srcset": (html.best_source, {"a.png 100w, b.png 300w, c.png 200w": "b.png", "a.png, b.png 2x": "b.png", "a.png": "a.png", None: None}),
     "sanitize": (html.sanitize, {'<p onclick="x">a <a href="javascript:x" title="t">b</a><b>c</b><script>z</script><img src="/i.png"></p>': '<p>a <a title="t">b</a>c<img src="/i.png"></p>', None: None}),
     "fence": (text.strip_code_fence, {"```json\n{}\n```": "{}", "{}": "{}"}),
     "name": (lambda c: text.reddit_name(c, "u", "u/reddit_user"), {"[deleted]": "u/reddit_user", "bob": "u/bob", "u/bob": "u/bob", None: "u/reddit_user"}),
     "avatar": (text.upgrade_avatar, {"https://pbs.twimg.com/profile_images/1/a_normal.jpg": "https://pbs.twimg.com/profile_images/1/a_400x400.jpg", "https://o.org/a_normal.jpg": "https://o.org/a_normal.jpg"}),
-    "linkedin": (classify.linkedin_type, {"https://www.linkedin.com/jobs/view/1": "linkedin_job", "https://www.linkedin.com/posts/x": "linkedin_post"}),
+    "linkedin": (classify.linkedin_type, {"https://www.linkedin.com/pulse/a": "linkedin_article", "https://www.linkedin.com/newsletters/a": "linkedin_newsletter", "https://www.linkedin.com/posts/x": "linkedin_post"}),
 }
 
 

@@ -153,3 +153,18 @@ def test_platform_records(spark):
     assert (a.v.title, a.v.channel, a.v.video_id, a.v.metrics, a.v.posted_at) == ("Clip", "Chan", "dQw4w9WgXcQ", {"views": 42.0, "likes": 7.0}, "2024-05-01")
     assert (a.e.title, a.e.description) == ("Ann (@ann) on X", "Hi there") and a.e.posted_at.day == 21
     assert b.t is None and b.p is None and b.e is None and b.v.title == "YouTube Video"
+
+
+def test_more_platform_records(spark):
+    syndicated = {"user": {"name": "Jane", "screen_name": "jane", "is_blue_verified": True}, "text": "Hello", "favorite_count": 12, "photos": [{"url": "a.jpg"}, {"url": "a.jpg"}], "created_at": "2024-05-01T10:00:00.000Z"}
+    mirrored = {"user_name": "Jane", "user_screen_name": "jane", "text": "Hi", "likes": 3, "date": "Wed May 01 10:00:00 +0000 2024", "qrt": {"media_extended": [{"type": "gif", "url": "g.mp4", "thumbnail_url": "g.jpg"}]}}
+    manifest = {"transcribedDocumentUrl": "d.pdf", "perResolutions": [{"width": 480, "imageManifestUrl": "s"}, {"width": 800, "imageManifestUrl": "m"}, {"width": 1280, "imageManifestUrl": "l"}]}
+    ld = [{"@type": "VideoObject", "name": "Cake | Pinterest", "contentUrl": "c.mp4"}, {"@type": "SocialMediaPosting", "image": "i.jpg", "author": {"name": "Ann", "url": "https://www.pinterest.com/ann/"}}]
+    page = f'<script type="application/ld+json">{json.dumps(ld)}</script><script type="application/ld+json">bad</script>'
+    d = spark.createDataFrame([(json.dumps(syndicated), json.dumps(mirrored), json.dumps(manifest), page), ("bad", "{}", None, "")], "s string, m string, f string, p string")
+    a, b = d.select(platforms.syndicated_record(F.col("s")).alias("s"), platforms.mirrored_record(F.col("m")).alias("m"), platforms.document_manifest(F.col("f")).alias("f"), platforms.pin_record(F.col("p")).alias("p")).collect()
+    assert (a.s.title, a.s.verified, a.s.metrics, [m.url for m in a.s.media], a.s.posted_at.year) == ("Jane (@jane) on X", True, {"likes": 12.0}, ["a.jpg"], 2024)
+    assert (a.m.description, a.m.video_thumbnail, [m.type for m in a.m.media], a.m.posted_at.month) == ("Hi", "g.jpg", ["video"], 5)
+    assert (a.f.pdf_url, a.f.pages_url) == ("d.pdf", "m")
+    assert (a.p.title, a.p.author_name, a.p.author_username, a.p.video_url, a.p.image) == ("Cake", "Ann", "ann", "c.mp4", "i.jpg")
+    assert b.s is None and b.m is None and b.p.title == "Pinterest Pin"
