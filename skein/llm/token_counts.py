@@ -65,6 +65,8 @@ class SegmentTree:
 
 def build(enc: ChunkEncoder, text: str) -> SegmentTree:
     parts = chunks(text)
+    if missing := set(parts[1:]).difference(enc.later):
+        enc._learn(enc.later, list(missing), " ")  # a whole document's new pieces at once
     chars, tokens = [], []
     for at in range(0, len(parts), LEAF):
         leaf = " ".join(parts[at : at + LEAF])
