@@ -404,3 +404,10 @@ def test_parities_never_differ_more_than_sets():
         b = np.unique(np.concatenate((a[cut:], rng.integers(0, 2**63, cut).astype(np.uint64))))
         bits = np.bitwise_count(np.frombuffer(neardup.parity(a), np.uint8) ^ np.frombuffer(neardup.parity(b), np.uint8)).sum()
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_contamination_beyond_what_is_sent(spark, sf, docs, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = sorted(map(repr, decontam.contamination(spark, docs, bench).collect()))
+    monkeypatch.setattr(decontam, "SEND_MOST", 0)
+    assert sorted(map(repr, decontam.contamination(spark, docs, bench).collect())) == want
