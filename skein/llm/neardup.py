@@ -7,11 +7,15 @@
    as the window reaches. A two-bit sketch and the sizes drop pairs that cannot reach the threshold.
 3. The nearest neighbour on either side in every order gives the first candidates; of these each row has its smallest and its
    most alike neighbour compared on full shingle sets. Confirmed links give components.
-4. Rows with candidates go through the orders again with a wide window, now giving all pairs between different components. They
-   carry parities here: a bit for each of PARITY slots, whether an odd number of the set's shingles falls into it. Two parities
-   differ in at most as many bits as the sets differ in shingles, so this test drops only pairs that cannot be links. What is
-   left is compared on full sets, so a large group costs about as many comparisons as it has links.
-
+4. Rows with candidates, and all rows of regions that the window did not see whole, go through the orders again with a wide
+   window, now giving all pairs between different components. They carry parities here: a bit for each of PARITY slots,
+   whether an odd number of the set's shingles falls into it. Two parities differ in at most as many bits as the sets differ
+   in shingles, so this test drops only pairs that cannot be links. What is left is compared on full sets, so a large group
+   costs about as many comparisons as it has links.
+5. Rows of regions that the wide window did not see whole either are joined exactly, by the rarest shingles of their sets (prefix,
+   size and position filters), again only between different components.
+
+A region is not seen whole if it has more rows than the window reaches, or if it touches the first or last row of a task.
 Sorting by range keeps a region of any size spread over many tasks. Exact copies never meet here: they share one class.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; null texts and texts without words
@@ -40,6 +44,10 @@ SIZE = STEP * ORDERS
 DEEP = 10
 PARITY = 2048
 NARROW, WIDE = 32, 256
+#: Buckets in which shingles are counted: their order needs only to be the same for all sets, so that counts may collide.
+BUCKETS = 1 << 20
+#: Rows of one shingle that a block of the exact join holds.
+BLOCK = 2000
 _MUL = [np.uint64(x | 1) for x in np.random.default_rng(20240901).integers(0, 2**63, SIZE, dtype=np.int64).astype(np.uint64)]
 _ADD = list(np.random.default_rng(20240902).integers(0, 2**63, SIZE, dtype=np.int64).astype(np.uint64))
 
@@ -138,7 +146,8 @@ def forest(reps: DataFrame, parities: bool) -> DataFrame:
 def neighbours(trees: DataFrame, threshold: float, window: int, nearest: bool) -> DataFrame:
     """(u, v, far): rows that follow each other in some order and may reach the threshold; far counts sketch differences.
 
-    nearest: only the nearest on either side; else all within the window whose components differ."""
+    nearest: only the nearest on either side; else all within the window whose components differ. A row with u = v is one of a
+    region that was not seen whole."""
     match = threshold + (1 - threshold) / 4
     most = int(SIZE * (1 - match) + 5 * (SIZE * match * (1 - match)) ** 0.5)
     #: A link's sets differ in at most this share of both sizes together.
@@ -178,26 +187,107 @@ def neighbours(trees: DataFrame, threshold: float, window: int, nearest: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        first = None
         width = 1 + 4 * DEEP + 4
+
+        def unseen(ids: np.ndarray) -> pa.RecordBatch:
+            ids = np.unique(ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(np.full(len(ids), -1, dtype=np.int64))], ["u", "v", "far"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             # the last rows come again with the next batch; their pairs among each other then repeat, which a distinct mends
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            held = t.slice(max(0, t.num_rows - window))
+            held = t.slice(max(0, t.num_rows - window - 1))
             key = np.frombuffer(b"".join(t.column("key").to_pylist()), dtype=np.uint8).reshape(-1, width)
             sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(t.num_rows, -1)
             odd = np.frombuffer(b"".join(t.column("parity").to_pylist()), dtype=np.uint64).reshape(t.num_rows, -1) if "parity" in t.column_names else None
-            got = pairs(key, t.column("id").to_numpy(), t.column("n").to_numpy(), sk, t.column("comp").to_numpy(), odd)
+            ids, code = t.column("id").to_numpy(), key[:, :region]
+            first = code[0].copy() if first is None else first
+            group = np.concatenate(([0], np.cumsum(np.any(code[1:] != code[:-1], axis=1))))
+            large = (np.bincount(group) > window + 1)[group] | np.all(code == first, axis=1)
+            if large.any():
+                yield unseen(ids[large])
+            got = pairs(key, ids, t.column("n").to_numpy(), sk, t.column("comp").to_numpy(), odd)
             if got:
                 u, v, far = np.concatenate(got, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(far)], ["u", "v", "far"])
+        if held is not None:
+            key = np.frombuffer(b"".join(held.column("key").to_pylist()), dtype=np.uint8).reshape(-1, width)
+            yield unseen(held.column("id").to_numpy()[np.all(key[:, :region] == key[-1, :region], axis=1)])
 
-    # tasks are cut by sampled key ranges, so a crowded region is spread over many; only pairs across a cut are left to other orders
+    # tasks are cut by sampled key ranges, so a crowded region is spread over many; rows of a cut region are given as not seen whole
     found = trees.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long, far long")
     return found.groupBy("u", "v").agg(F.min("far").alias("far"))
 
 
+def rare_pairs(rows: DataFrame, shingle: int, threshold_percent: int) -> DataFrame:
+    """(u, v): all pairs of rows (id, text, comp, members: rows of that comp) of different components whose sets may reach the threshold.
+
+    Sets are ordered by the counts of their shingles, rarest first. Two sets that reach the threshold share a shingle among the
+    first of both: of n, all but `needed` and one more, and in the smaller set all but its part of the least common share."""
+    q = threshold_percent
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, dtype=np.int64)
+        for b in batches:
+            for t in b.column(0):
+                n[(shingle_set(t.as_py(), shingle) % np.uint64(BUCKETS)).astype(np.int64)] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+
+    def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for i, t, c, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            s = shingle_set(t.as_py(), shingle)
+            n = len(s)
+            often = counts[(s % np.uint64(BUCKETS)).astype(np.int64)]
+            order = np.lexsort((s, often))[: n + (-q * n // 100) + 1]
+            pos = np.flatnonzero(often[order] > 1)  # a shingle alone in its bucket is in no other set
+            out.append((s[order[pos]].view(np.int64), pos, *(np.full(len(pos), x) for x in (i, n, c, m))))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["token", "pos", "id", "n", "comp", "members"])
+
+    post = materialize(map_batches(rows.select("id", "text", "comp", "members"), prefixes, "token long, pos long, id long, n long, comp long, members long", "shingles"), "prefixes")
+    # as the smaller set: the common part is at least 2q/(100+q) of its size
+    small = (100 + q) * (F.col("n") - F.col("pos")) >= 2 * q * F.col("n")
+    stats = post.groupBy("token").agg(F.count("*").alias("rows"), F.max_by("comp", "members").alias("main"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(small).alias("any"))
+    stats = stats.where("c0 != c1 and any").select("token", "main", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    post = post.join(stats, "token").withColumn("minor", F.col("comp") != F.col("main"))
+    post = materialize(post.withColumn("small", small), "postings")
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows of a frequent shingle are cut into blocks, and each left one meets every block."""
+        a = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "block", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "pos", "comp")])
+        b = right.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        shared = F.least(F.col("a_n") - F.col("a_pos"), F.col("n") - F.col("pos"))
+        d = a.join(b, ["token", "block"]).where((F.col("a_comp") != F.col("comp")) & (F.col("a_n") <= F.col("n")) & (100 * F.col("a_n") >= q * F.col("n")) & ((100 + q) * shared >= q * (F.col("a_n") + F.col("n"))))
+        return d.select(F.least("a_id", "id").alias("u"), F.greatest("a_id", "id").alias("v"))
+
+    # rows of a shingle's main component need not meet each other
+    short = post.where("small")
+    return joined(short.where("minor"), post).unionByName(joined(short.where("not minor"), post.where("minor"))).distinct()
+
+
+def may_link(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose parities differ in no more bits than the sets of a link."""
+    differ = (1 - threshold) / (1 + threshold)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for c in ("a", "b")]
+        good = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1) <= differ * b.column("n").to_numpy() + 1e-9
+        return b.select(["u", "v"]).filter(pa.array(good))
+
+    one = lambda k, p: classes.select(F.col("rep").alias(k), F.col("parity").alias(p), F.col("n_shingles").alias(f"n{p}"))
+    both = pairs.join(one("u", "a"), "u").join(one("v", "b"), "v").select("u", "v", "a", "b", (F.col("na") + F.col("nb")).alias("n"))
+    return map_batches(both, run, "u long, v long")
+
+
 def links(pairs: DataFrame, texts: DataFrame, shingle: int, threshold_percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold: 100 * intersection >= percent * union."""
 
@@ -246,20 +336,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, thre
     classes = materialize(classes, "classes")
     found = materialize(neighbours(forest(classes.withColumn("comp", F.col("rep")), False), threshold, NARROW, True), "chain")
 
-    near = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "far")).groupBy("u").agg(F.min("v").alias("low"), F.min(F.struct("far", "v")).alias("best"))
+    unseen = found.where("u = v").select("u")
+    found_pairs = found.where("u != v")
+    near = found_pairs.unionByName(found_pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "far")).groupBy("u").agg(F.min("v").alias("low"), F.min(F.struct("far", "v")).alias("best"))
     near = materialize(near.select("u", "low", F.col("best.v").alias("best")), "near")
     first = near.select("u", F.explode(F.array("low", "best")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = materialize(first, "pairs")
-    texts = materialize(doc_bytes(docs).join(near.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    wanted = near.select("u").unionByName(unseen).distinct()
+    texts = materialize(doc_bytes(docs).join(wanted.select(F.col("u").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     edges = materialize(links(first, texts, shingle, threshold_percent), "links")
     comps = materialize(components(edges), "components")
 
-    crowd = classes.join(near.select(F.col("u").alias("rep")), "rep", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    crowd = crowd.withColumn("comp", F.coalesce("component", "rep"))
-    rest = neighbours(forest(crowd, True), threshold, WIDE, False).join(first, ["u", "v"], "left_anti")
+    def with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        return rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+
+    crowd = with_comp(classes.join(wanted.select(F.col("u").alias("rep")), "rep", "left_semi"), comps)
+    wide = materialize(neighbours(forest(crowd, True), threshold, WIDE, False), "wide")
+    rest = wide.where("u != v").join(first, ["u", "v"], "left_anti")
     more = materialize(links(rest, texts, shingle, threshold_percent), "links")
     final = materialize(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
-    drop(found, near, first, texts, edges, comps, more)
+
+    packed = with_comp(classes.select("rep").join(wide.where("u = v").select(F.col("u").alias("rep")), "rep", "left_semi"), final)
+    packed = packed.join(packed.groupBy("comp").agg(F.count("*").alias("members")), "comp")
+    packed = materialize(packed.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(F.col("rep").alias("id"), "text", "comp", "members"), "packed")
+    if not packed.isEmpty():
+        last = materialize(may_link(rare_pairs(packed, shingle, threshold_percent), classes, threshold), "pairs")
+        more = materialize(links(last, texts, shingle, threshold_percent), "links")
+        if not more.isEmpty():
+            final = materialize(components(final.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+        drop(last)
+    drop(found, near, first, texts, edges, comps, wide, more, packed)
 
     member = classes.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", "set_key").join(member, "set_key", "left").withColumn("component_id", F.coalesce("component", "doc_id"))

@@ -319,6 +319,41 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == python_components(rows, 4, 80)
 
 
+def crowd_of_one_passage(n, pairs, seed=7):
+    """n texts that share a passage (similarity 0.78, below the threshold), of which the first `pairs` have a near copy (0.83)."""
+    import random
+
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    passage = [word() for _ in range(253)]
+    rows = []
+    for i in range(n):
+        own = [word() for _ in range(35)]
+        rows.append((i, " ".join(passage + own)))
+        if i < pairs:
+            rows.append((n + i, " ".join(passage + own[:10] + [word() for _ in range(25)])))
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_near_duplicates_of_a_crowd_beyond_the_window(spark):
+    """Links among thousands of different texts with one passage: each near copy is found, and nothing else."""
+    n, pairs = 6000, 60
+    df = spark.createDataFrame(crowd_of_one_passage(n, pairs), "doc_id long, text string")
+    got = neardup.near_duplicates(spark, df, shingle=4).where("component_id != doc_id").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(n + i, i) for i in range(pairs)]
+
+
+def test_near_duplicates_across_cuts(spark, monkeypatch):
+    """Small windows and many tasks: what they cut off is still compared."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i // 7 * 100, i // 7 * 100 + 60)) + f" x{i} y{i}") for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "NARROW", 1)
+    monkeypatch.setattr(neardup, "WIDE", 1)
+    got = neardup.near_duplicates(spark, df, shingle=4).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == python_components(rows, 4, 80)
+
+
 def test_packing(spark, some, empty):
     df, rows = some
     enc = plain_tokenizer()
