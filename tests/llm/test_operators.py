@@ -218,6 +218,17 @@ def test_licenses(spark, some, empty):
     assert licenses.license_scan(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [30, 80])
+@pytest.mark.parametrize("mark", ["", " * ", "// "])
+def test_wrapped_licenses(spark, width, mark):
+    import textwrap
+
+    rows = [(k, "some code\n" + "\n".join(mark + x for x in textwrap.wrap(f"In this file {t} and so on, as everybody knows who reads it.", width))) for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    rows.append((99, "The conditions\nof use are that\nsource files\nin any form\nare permitted"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[k][0].split(",") and got[k][1] == 1.0 for k, (label, _) in enumerate(licenses.TEMPLATES)) and got[99] == ("", 0.0)
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
