@@ -2,7 +2,7 @@
 
 Base spans are found by patterns and checks (address parts, Luhn, number of digits). For the rest, generators of high recall
 propose overlapping candidates: anything around an at sign, long runs of digits and separators, long mixed tokens, and values
-given to names such as password or token. Those that touch a base span are settled already. Gradient-boosted trees score the
+given to names such as password or token. Those with no letter or digit outside base spans are settled already. Gradient-boosted trees score the
 others by format and context, and a threshold calibrated on held-out examples for high precision selects spans. The trees are
 trained once for each application on examples that SQL makes from templates and hashes, so no labels are needed.
 
@@ -81,7 +81,7 @@ def passes(kind: str, s: Column) -> Column:
 
 
 def with_spans(df: DataFrame) -> DataFrame:
-    """Adds base, array<struct<start,end,kind>> of checked spans, and cands, those of the generators that touch none of them."""
+    """Adds base, array<struct<start,end,kind>> of checked spans, and cands, those of the generators that have a letter or digit outside of them."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = df.withColumn("_t", F.translate(t, MARK, OTHER))
     df = df.withColumn("_at", F.col("_t").contains("@")).withColumn("_digit", F.col("_t").rlike("[0-9]"))
@@ -103,8 +103,15 @@ def with_spans(df: DataFrame) -> DataFrame:
     wide = {"contact": (CONTACT_LIKE, F.col("_at")), "number": (NUMBER_LIKE, F.col("_digit")), "secret": (SECRET_LIKE, secret)}
     df = df.withColumns({f"_{k}": found(F.col("_t"), shown, p, w) for k, (p, w) in wide.items()})
 
+    def outside(s: Column) -> Column:
+        """What a candidate has beside the base spans, which are sorted."""
+        touching = F.filter("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        part = lambda a, b: F.substring(s["text"], a - s["start"] + 1, F.greatest(F.lit(0), b - a))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+        return F.aggregate(touching, F.struct(s["start"].alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], part(acc["at"], s["end"])))
+
     def proposed(kind: str) -> Column:
-        free = F.filter(F.col(f"_{kind}"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        free = F.filter(F.col(f"_{kind}"), lambda s: outside(s).rlike(r"[\pL\pN]"))
         before = lambda s: F.substring(F.col("_t"), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
         return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), s["text"].alias("text"), F.lower(before(s)).alias("before")))
 
@@ -223,6 +230,17 @@ def trained(spark: SparkSession):
     return _trained[key]
 
 
+def kept(cands: str) -> Column:
+    """Of array<struct<p,start,end,kind>> those that stay, as struct<start,end,kind>."""
+    ranked = F.array_sort(F.transform(cands, lambda s: F.struct((-s["p"]).alias("p"), (s["start"] - s["end"]).alias("n"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        hit = F.exists(acc, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+        return F.when(hit, acc).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    return F.aggregate(ranked, F.array().cast("array<struct<start:int,end:int,kind:int>>"), step)
+
+
 def selected(df: DataFrame) -> DataFrame:
     """Adds spans, array<struct<start,end,kind>>: the base ones and those that the trees select. df has base, cands and a column row."""
     from pyspark.ml.functions import vector_to_array
@@ -231,10 +249,8 @@ def selected(df: DataFrame) -> DataFrame:
     c = df.select("row", F.explode("cands").alias("c")).select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.kind").alias("kind"), *[v.alias(k) for k, v in features(F.col("c")).items()])
     p = model.transform(assembler.transform(c)).select("row", F.struct(vector_to_array("probability")[1].alias("p"), "start", "end", "kind").alias("s")).where(F.col("s.p") >= cut)
     more = p.groupBy("row").agg(F.collect_list("s").alias("more"))  # of one document
-    # of candidates that overlap, the surest stays; with equal odds the longer, then the earlier
-    rank = lambda s: F.struct(s["p"].alias("p"), (s["end"] - s["start"]).alias("n"), (-s["start"]).alias("s"), (-s["kind"]).alias("k"))
-    best = F.filter("more", lambda s: ~F.exists("more", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (rank(o) > rank(s))))
-    more = more.select("row", F.transform(best, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("more"))
+    # surest first, with equal odds the longer, then the earlier: each stays unless it overlaps one that stays
+    more = more.select("row", kept("more").alias("more"))
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     return df.join(more, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", none))))
 

@@ -277,6 +277,20 @@ def test_redaction(spark, odd):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == len(ODD)
 
 
+def test_private_rest_around_base_spans(spark):
+    text = "the password=P@ss.w0rd!Extra99 end"
+    d = spark.createDataFrame([(1, text), (2, "write to a.b@c.de. Or not")], "doc_id long, text string")
+    cands = {r["doc_id"]: [c["text"] for c in r["cands"]] for r in pii.with_spans(d).collect()}
+    assert "password=P@ss.w0rd!Extra99" in cands[1] and cands[2] == []
+    got = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert "Extra99" not in got[1] and got[2] == "write to [email]. Or not"
+
+
+def test_overlaps_are_resolved_greedily(spark):
+    d = spark.sql("SELECT array(named_struct('p', 0.9D, 'start', 0, 'end', 10, 'kind', 4), named_struct('p', 0.8D, 'start', 8, 'end', 20, 'kind', 5), named_struct('p', 0.7D, 'start', 15, 'end', 30, 'kind', 6)) AS more")
+    assert [tuple(s) for s in d.select(pii.kept("more").alias("k")).first()["k"]] == [(0, 10, 4), (15, 30, 6)]
+
+
 def python_components(rows, size, percent):
     sets = []
     for i, t in rows:
