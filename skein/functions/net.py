@@ -60,10 +60,11 @@ def is_internal_host(host: Column) -> Column:
     return out
 
 
-def is_safe_url(url: Column, ip: Column) -> Column:
-    """IP2: http(s), at most 2048 characters, no internal host, and an address that is known and public."""
+def is_safe_url(url: Column, ip: Column, any_private: Column | None = None) -> Column:
+    """IP2, IP4: http(s), at most 2048 characters, no internal host, and an address that is known and public, as are all others of the
+    host (any_private)."""
     host = host_of(url)
-    safe = (F.length(url) <= MAX_URL) & host.isNotNull() & ~is_internal_host(host) & ip.isNotNull() & ~is_private_ip(ip)
+    safe = (F.length(url) <= MAX_URL) & host.isNotNull() & ~is_internal_host(host) & ip.isNotNull() & ~(is_private_ip(ip) if any_private is None else any_private)
     return F.coalesce(safe, F.lit(False))
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.net import is_private_ip
 from skein.functions.strings import first_present, let, present, wide_trim
 from skein.functions.url import linkedin_post_id, url_variants
 
@@ -127,9 +128,14 @@ def merged(server: DataFrame, client: DataFrame, key: str) -> DataFrame:
     return updated(server, client, key)
 
 
+def addresses(dns: DataFrame) -> DataFrame:
+    """A row for each host: its greatest address, and any_private: whether one of them is private or null."""
+    return dns.groupBy("host").agg(F.max("ip").alias("ip"), F.bool_or(is_private_ip(F.col("ip"))).alias("any_private"))
+
+
 def safe_urls(urls: DataFrame, dns: DataFrame, host: Column, url: str = "url") -> DataFrame:
-    """Links with the address of their host; null where it is unknown, which counts as unsafe."""
-    d = newest(dns, ["host"], ["ip"]).select(F.col("host").alias("_host"), "ip")
+    """J8, IP4: links with the address of their host, and whether any of its addresses is private; null where it is unknown, which counts as unsafe."""
+    d = addresses(dns).select(F.col("host").alias("_host"), "ip", "any_private")
     return urls.withColumn("host", host).join(d, F.col("host") == F.col("_host"), "left").drop("_host")
 
 

@@ -69,7 +69,7 @@ def _hosts(spark: SparkSession, sf: str) -> DataFrame:
 
 def url_safety(spark: SparkSession, sf: str) -> DataFrame:
     d = library.safe_urls(_links(spark, sf), _hosts(spark, sf), url.host_of(F.col("url")))
-    return d.select("id", "ip", net.is_safe_url(F.col("url"), F.col("ip")).alias("safe"), net.url_problem(F.col("url")).alias("problem"))
+    return d.select("id", "ip", net.is_safe_url(F.col("url"), F.col("ip"), F.col("any_private")).alias("safe"), net.url_problem(F.col("url")).alias("problem"))
 
 
 def email_validate(spark: SparkSession, sf: str) -> DataFrame:

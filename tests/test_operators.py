@@ -6,7 +6,7 @@ from collections import OrderedDict
 
 from pyspark.sql import functions as F
 
-from skein.functions import html, url
+from skein.functions import html, net, url
 from skein.operators import library, pages, platforms, state
 from skein.sources import tables
 from skein.streaming import state as stream
@@ -133,6 +133,14 @@ def test_extract(spark):
     assert {r.canonical for r in pages.extract(d, cached=spark.createDataFrame([("https://a.org/x",)], "canonical string")).collect()} == {"https://b.org/q", "https://c.org/"}
 
 
+def test_a_host_with_a_private_address_is_unsafe(spark):
+    d = spark.createDataFrame([(1, "https://a.org/x", PAGE), (2, "https://b.org/x", PAGE), (3, "https://c.org/x", PAGE)], "page_id long, url string, html string")
+    dns = spark.createDataFrame([("a.org", "10.0.0.5"), ("a.org", "93.184.216.34"), ("b.org", "93.184.216.34"), ("b.org", "8.8.8.8"), ("c.org", "8.8.8.8"), ("c.org", None)], "host string, ip string")
+    assert {r.page_id for r in pages.extract(d, dns=dns).collect()} == {2}
+    got = library.safe_urls(d.select("url"), dns, url.host_of(F.col("url"))).select("url", net.is_safe_url(F.col("url"), F.col("ip"), F.col("any_private")).alias("safe")).collect()
+    assert {r.url for r in got if r.safe} == {"https://b.org/x"}
+
+
 def test_redirects(spark):
     u = spark.createDataFrame([("https://bit.ly/a",), ("https://bit.ly/bad",), ("https://z.org/",)], "url string")
     r = spark.createDataFrame([("https://bit.ly/a", "https://t.co/b", True), ("https://t.co/b", "https://end.org/", True), ("https://bit.ly/bad", "https://10.0.0.1/", False)], "src string, dst string, safe boolean")
