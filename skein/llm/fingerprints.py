@@ -1,9 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
 A text is a multiset of paragraphs: its lines, cut further after sentence ends. SHA-256 of a paragraph gives 60 digits of 0 to
-15; they are laid out as 20 words of three 20-bit counters. A fingerprint is the sum of these words over all paragraphs, modulo
-2**60, and the number of paragraphs. So it does not depend on the order, and a paragraph is inserted or deleted by
-adding or subtracting its words. Digits are small beside the counters, so the difference of two fingerprints also tells how far
+15, each added up over all paragraphs in a counter of its own: 32 words hold two counters (32 and 31 bits) or one. A fingerprint is these
+sums and the number of paragraphs; as text it is written as 20 words of three digits' sums, 20 bits apart, modulo 2**60. So it does not depend on the order, and a paragraph is inserted or deleted by
+adding or subtracting its words. No counter overflows below 143 million paragraphs in a text, so the difference of two fingerprints also tells how far
 the texts are apart: its squared length, each digit less its mean of 7.5, grows by 21.25 a counter for every paragraph that
 only one of them has.
 
@@ -17,10 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANES, LANE_BITS = 20, 60
+from skein.functions.strings import let
+
+LANE_BITS = 60
 MASK = (1 << LANE_BITS) - 1
-#: Digits 0, 5 and 10 of fifteen: one for each counter of a word.
+#: Digits 0, 5 and 10 of fifteen: those of a word of the text.
 PICK = 0xF | 0xF << 20 | 0xF << 40
+#: Words for each fifteen digits: digits m and m + 8 in word m, digit 7 alone.
+WIDE, HIGH = 8, 32
+WIDE_PICK, WIDE_MASK = 0xF | 0xF << HIGH, (1 << 63) - 1
 MEAN, VARIANCE = 7.5, 21.25
 
 
@@ -48,11 +53,17 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
 def fingerprint_of(parts: Column) -> Column:
     """The fingerprint of paragraphs given by their digits."""
 
-    def lane(k: int, j: int) -> Column:
-        pick = lambda d: F.shiftright(F.element_at(d, k + 1), 4 * j).bitwiseAND(F.lit(PICK))
-        return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, d: (acc + pick(d)).bitwiseAND(F.lit(MASK)))
+    def lane(k: int, m: int) -> Column:
+        bits = 0xF if m == WIDE - 1 else WIDE_PICK
+        pick = lambda d: F.shiftright(F.element_at(d, k + 1), 4 * m).bitwiseAND(F.lit(bits))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, d: (acc + pick(d)).bitwiseAND(F.lit(WIDE_MASK)))
+
+    return F.array(*[lane(k, m) for k in range(4) for m in range(WIDE)], F.size(parts).cast("long"))
+
 
-    return F.array(*[lane(k, j) for k in range(4) for j in range(5)], F.size(parts).cast("long"))
+def counter(fp: Column, k: int, digit: int) -> Column:
+    word = F.element_at(fp, 1 + WIDE * k + digit % WIDE)
+    return F.shiftrightunsigned(word, HIGH) if digit >= WIDE else word.bitwiseAND(F.lit((1 << HIGH) - 1))
 
 
 def inserted(fp: Column, text: Column) -> Column:
@@ -66,30 +77,34 @@ def deleted(fp: Column, text: Column) -> Column:
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
-    return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND(F.lit(MASK)))
+    return F.zip_with(a, b, lambda x, y: (x + sign * y).bitwiseAND(F.lit(WIDE_MASK)))
 
 
 def as_text(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), LANE_BITS // 4, "0")), "")
+    def word(x: Column, k: int, j: int) -> Column:
+        return sum((F.shiftleft(counter(x, k, j + 5 * i), 20 * i).bitwiseAND(F.lit(MASK)) for i in range(3)), F.lit(0).cast("long")).bitwiseAND(F.lit(MASK))
+
+    # bound once, else an expression would be computed for each of its uses
+    words = let(fp, lambda x: F.array(*[word(x, k, j) for k in range(4) for j in range(5)], F.element_at(x, -1)))
+    return F.array_join(F.transform(words, lambda x: F.lpad(F.lower(F.hex(x)), LANE_BITS // 4, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal fingerprints, about the share of common paragraphs otherwise: 1 - |a-b|^2 / (|a|^2 + |b|^2)."""
     na, nb = F.element_at(a, -1), F.element_at(b, -1)
 
-    def centred(word: Column, shift: int, n: Column) -> Column:
-        return F.shiftright(word, shift).bitwiseAND(F.lit((1 << 20) - 1)) - n * MEAN
-
-    def square(diff) -> Column:
-        return sum((diff(s) * diff(s) for s in (0, 20, 40)), F.lit(0.0))
+    # a word's two counters, less their means; a word of one digit has none in its upper half
+    low = lambda x, n: x.bitwiseAND(F.lit((1 << HIGH) - 1)) - n * MEAN
+    high = lambda x, i, n: F.when(i % WIDE == WIDE - 1, 0.0).otherwise(F.shiftrightunsigned(x, HIGH) - n * MEAN)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+    square = lambda x: x * x
+    words = lambda fp: F.slice(fp, 1, 4 * WIDE)
 
     def length(fp: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(fp, 1, LANES), F.lit(0.0), lambda acc, x: acc + square(lambda s: centred(x, s, n)))
+        return total(F.transform(words(fp), lambda x, i: square(low(x, n)) + square(high(x, i, n))))
 
-    apart = F.aggregate(
-        F.slice(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), 1, LANES), F.lit(0.0),
-        lambda acc, p: acc + square(lambda s: centred(p["x"], s, na) - centred(p["y"], s, nb)),
-    )
+    pairs = words(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+    apart = total(F.transform(pairs, lambda p, i: square(low(p["x"], na) - low(p["y"], nb)) + square(high(p["x"], i, na) - high(p["y"], i, nb))))
     both = length(a, na) + length(b, nb)
     return F.when(a == b, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
 

@@ -110,6 +110,17 @@ def test_fingerprint_is_homomorphic(spark):
     assert (r["x"], r["y"], r["z"]) == (True, True, 1.0)
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    """100,000 and 200,000 equal lines, with and without a tenth more of others: alike to the shared share, as for short texts."""
+    line = lambda n, more: (n, "a\n" * n, "a\n" * n + "".join(f"b{k}\n" for k in range(more)))
+    sizes = (1000, 100_000, 200_000)
+    d = spark.createDataFrame([line(n, n // 10) for n in sizes], "n long, a string, b string")
+    d = fingerprints.with_fingerprint(fingerprints.with_fingerprint(d, "a", "x"), "b", "y").select("n", "x", "y")
+    got = {r["n"]: r for r in d.select("n", fingerprints.likeness(F.col("x"), F.col("y")).alias("near"), fingerprints.as_text(F.col("x")).alias("text")).collect()}
+    assert all(got[n]["near"] > 0.99 for n in sizes)
+    assert got[100_000]["text"] == python_fingerprint("a\n" * 100_000)
+
+
 def plain_tokenizer():
     from tokenizers import Tokenizer
 
