@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -45,10 +47,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Paths of tables and folders that this driver made, in order; what is left of them goes when it ends.
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may leave it unset and
+    gets a temporary one; on a cluster that would be a different folder on each machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_skein_dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
@@ -57,7 +66,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -70,11 +81,38 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_skein_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+            _made[:] = [m for m in _made if m[1] != path]
+
+
+def mark() -> int:
+    """How many scratch paths there are; see release()."""
+    return len(_made)
+
+
+def release(since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch paths made since a mark, but for those to keep. Results that were not written or read yet need theirs."""
+    left = []
+    for spark, path in _made[since:]:
+        if path in keep:
+            left.append((spark, path))
+        elif spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+    _made[since:] = left
+
+
+@atexit.register
+def _at_end() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        release()
