@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,18 +45,44 @@ def keep_cache(name: str | None) -> None:
             empty()
 
 
+#: Bytes of text that a function of map_batches() sees at once, beside a single longer text.
+PIECE_BYTES = 8 << 20
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch, in parts of about PIECE_BYTES of its column `text`, so that what is made of them stays bounded."""
+    if "text" not in b.schema.names or b.nbytes <= PIECE_BYTES:
+        yield b
+        return
+    sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
+    for i, k in slices(sizes, PIECE_BYTES):
+        yield b.slice(i, k - i)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, cache: str | None = None) -> DataFrame:
     """mapInArrow with a function of one batch. cache: the one that the function uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_cache(cache)
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None and out.num_rows:
-                yield out
+            for part in _pieces(b) if b.num_rows else ():
+                if (out := f(part)) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
+def join_spread(left: DataFrame, right: DataFrame, on: str, rows: str, total: int) -> DataFrame:
+    """Inner join with right, whose keys are unique and whose column `rows` says how many rows left has of each (it is dropped).
+
+    A key with over a thousandth of the total would fill a task; there are at most a thousand of them, so they are sent to every task
+    and the rows of left stay where they are. The others are joined by a shuffle."""
+    most = max(1000, total // 1000)
+    hot = F.broadcast(right.where(F.col(rows) > most).drop(rows))
+    cold = right.where(F.col(rows) <= most).drop(rows)
+    return left.join(hot, on).unionByName(left.join(hot.select(on), on, "left_anti").join(cold, on))
+
+
 def columns_of(df: DataFrame) -> str:
     """The schema of a frame as text."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
