@@ -61,7 +61,7 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return decontam.contamination(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontam.contamination(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"), near=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
