@@ -1,34 +1,39 @@
 """Personal data: validated patterns, and boosted trees over wider candidates. DataFrame and SQL functions only.
 
 Base spans are found by patterns and checks (address parts, Luhn, number of digits). For the rest, generators of high recall
-propose overlapping candidates: anything around an at sign, long runs of digits and separators, long mixed tokens, and values
-given to names such as password or token. Those with no letter or digit outside base spans are settled already. Gradient-boosted trees score the
-others by format and context, and a threshold calibrated on held-out examples for high precision selects spans. The trees are
-trained once for each application on examples that SQL makes from templates and hashes, so no labels are needed.
+propose overlapping candidates: anything around an at sign, runs of digits and separators of any length, with and without blanks,
+long mixed tokens, and values given to names such as password or token. Those of which the base patterns leave no letter or digit are
+settled already. Gradient-boosted trees score the others by format and context, and a threshold for each kind, calibrated on
+held-out examples for high precision, selects spans; of these only such as lie within another are left out. The trees are trained
+once for each application on examples that SQL makes from templates and hashes, so no labels are needed, and then written as one
+expression, so that all of it is a projection of a row's text: no join, shuffle or table.
 
 Patterns are written so that no text makes them backtrack or recurse: repeated groups are first reduced to single marks of the
-same length, and runs start only where a run can start.
+same length, and runs start only where a run can start. Offsets are running sums over the pieces between matches, and texts are
+put together from pieces, so the time is in proportion to a text's length.
 
 Defined cases: null and empty texts have no spans; repeated rows have the same result each; an empty table gives no rows;
-columns other than doc_id and text are not read (redact() returns them as they are). Offsets count code points.
+columns other than doc_id and text are not read, and redact() returns them as they are, whatever their names. Offsets count code points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import materialize
+from skein.functions.strings import let
+from skein.session import drop, materialize
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
-#: Kinds that only the trees select, one for each generator.
+#: Kinds that only the trees select.
 MORE_KINDS = ["contact", "number", "secret"]
 KINDS = BASE_KINDS + MORE_KINDS
 CONTEXT = 24
 EXAMPLES = 6000
 PRECISION = 0.99
 
-SPAN = "struct<start:int,end:int,text:string>"
 MARK, OTHER = "\u0001", "\u0002"
 LOCAL = r"A-Za-z0-9._%+\x01-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++"
@@ -36,22 +41,41 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x01]++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 CONTACT_LIKE = r"(?:\G|(?<![^\s@<>,;]))[^\s@<>,;]++@[^\s@<>,;]++"
-NUMBER_LIKE = r"(?<![0-9])[+(]?[0-9][0-9 ()./-]{4,40}[0-9](?![0-9])"
+NUMBER_LIKE = r"(?<![0-9])[+(]?[0-9][0-9 ()./-]{4,}[0-9](?![0-9])"
+#: The same without blanks, for numbers within long rows of numbers.
+COMPACT = r"(?<![0-9().\/-])[+(]?[0-9][0-9()./-]{4,}[0-9](?![0-9])"
 SECRET_LIKE = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key) ?[=:] ?\"?[^\s\"]{6,}+\"?|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+NAMED = "(?i)password|passwd|pwd|token|secret|api[_-]?key"
+SPANS = "array<struct<start:int,end:int,kind:int>>"
+
+
+def running(xs: Column, op: Callable[[Column, Column], Column], zero: int = 0) -> Column:
+    """array<int>: op over the elements before each one, and over all at the end. Grown in short arrays, as appending copies."""
+    ints = F.array().cast("array<int>")
+    start = F.struct(F.lit(zero).alias("at"), ints.alias("part"), F.array().cast("array<array<int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = F.size(acc["part"]) >= 64
+        return F.struct(
+            op(acc["at"], x).cast("int").alias("at"), F.when(full, F.array(acc["at"])).otherwise(F.array_append(acc["part"], acc["at"])).alias("part"),
+            F.when(full, F.array_append(acc["out"], acc["part"])).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(xs, start, step, lambda acc: F.array_append(F.flatten(F.array_append(acc["out"], acc["part"])), acc["at"]))
 
 
-def found(text: Column, shown: Column, pattern: str, when: Column) -> Column:
-    """Spans of all matches in `text`, with the characters that `shown` (of equal length) has there."""
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, m: F.struct(F.length(a).alias("gap"), F.length(m).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+def found(text: Column, pattern: str, when: Column) -> Column:
+    """array<struct<start,end,text,before>> of all matches; before: what stands ahead of it, from the match before on at most."""
+    cut = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, m: F.struct(a.alias("gap"), m.alias("match")))
 
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + p["gap"]
-        return F.when(p["size"].isNull(), acc).otherwise(F.struct((a + p["size"]).alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), (a + p["size"]).alias("end"))).alias("out")))
+    def spans(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0))), lambda a, b: a + b)
+        before = lambda p, i: F.lower(F.right(F.concat(F.coalesce(F.try_element_at(parts, F.greatest(i, F.lit(1)))["match"], F.lit("")), p["gap"]), F.lit(CONTEXT)))
+        heads = F.transform(parts, lambda p, i: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), F.when(i > 0, before(p, i)).otherwise(F.lower(F.right(p["gap"], F.lit(CONTEXT)))).alias("before")))
+        each = F.zip_with(heads, ends, lambda p, at: F.struct((at + F.length(p["gap"])).alias("start"), (at + F.length(p["gap"]) + F.length(p["match"])).alias("end"), p["match"].alias("text"), p["before"].alias("before")))
+        return F.filter(each, lambda s: s["text"].isNotNull())
 
-    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    full = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(shown, s["start"] + 1, s["end"] - s["start"]).alias("text")))
-    return F.when(when, full).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(when, let(cut, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,before:string>>"))
 
 
 def only_digits(c: Column) -> Column:
@@ -80,43 +104,57 @@ def passes(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def with_spans(df: DataFrame) -> DataFrame:
-    """Adds base, array<struct<start,end,kind>> of checked spans, and cands, those of the generators that have a letter or digit outside of them."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = df.withColumn("_t", F.translate(t, MARK, OTHER))
-    df = df.withColumn("_at", F.col("_t").contains("@")).withColumn("_digit", F.col("_t").rlike("[0-9]"))
-    df = df.withColumn("_mail", F.when(F.col("_at"), F.regexp_replace("_t", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)))
-    df = df.withColumn("_run", F.when(F.col("_digit"), F.regexp_replace("_t", "(?<=[0-9])[ -](?=[0-9])", MARK)))
-    shown = F.col("_t")
-    df = df.withColumns({
-        "_email": found(F.col("_mail"), shown, EMAIL, F.col("_at")),
-        "_ip": found(F.col("_t"), shown, IP, F.col("_digit")),
-        "_card": found(F.col("_run"), shown, CARD, F.col("_digit")),
-        "_phone": found(F.col("_t"), shown, PHONE, F.col("_t").contains("+")),
-    })
+def mail_marks(t: Column) -> Column:
+    return F.regexp_replace(t, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
 
-    def checked(kind: str) -> Column:
-        return F.transform(F.filter(F.col(f"_{kind}"), lambda s: passes(kind, s["text"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(BASE_KINDS.index(kind)).alias("kind")))
 
-    df = df.withColumn("base", F.array_sort(F.concat(*[checked(k) for k in BASE_KINDS])))
-    secret = F.col("_digit") | F.col("_t").rlike("(?i)password|passwd|pwd|token|secret|api[_-]?key")
-    wide = {"contact": (CONTACT_LIKE, F.col("_at")), "number": (NUMBER_LIKE, F.col("_digit")), "secret": (SECRET_LIKE, secret)}
-    df = df.withColumns({f"_{k}": found(F.col("_t"), shown, p, w) for k, (p, w) in wide.items()})
+def run_marks(t: Column) -> Column:
+    return F.regexp_replace(t, "(?<=[0-9])[ -](?=[0-9])", MARK)
+
+
+def rest_of(text: Column) -> Column:
+    """A candidate without what the base patterns find in it."""
+
+    def without(text: Column, pattern: str, kind: str) -> Column:
+        left = lambda a, m: F.concat(a, F.when(passes(kind, m), F.lit(" ")).otherwise(F.coalesce(m, F.lit(""))))
+        return let(text, lambda t: F.array_join(F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), left), ""))
 
-    def outside(s: Column) -> Column:
-        """What a candidate has beside the base spans, which are sorted."""
-        touching = F.filter("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        part = lambda a, b: F.substring(s["text"], a - s["start"] + 1, F.greatest(F.lit(0), b - a))
-        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
-        return F.aggregate(touching, F.struct(s["start"].alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], part(acc["at"], s["end"])))
+    out = without(mail_marks(text), EMAIL, "email")
+    for kind, pattern in (("phone", PHONE), ("ip", IP)):
+        out = without(F.translate(out, MARK, "."), pattern, kind)
+    return without(run_marks(out), CARD, "card")
 
-    def proposed(kind: str) -> Column:
-        free = F.filter(F.col(f"_{kind}"), lambda s: outside(s).rlike(r"[\pL\pN]"))
-        before = lambda s: F.substring(F.col("_t"), F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), s["start"]))
-        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), s["text"].alias("text"), F.lower(before(s)).alias("before")))
 
-    df = df.withColumn("cands", F.concat(*[proposed(k) for k in MORE_KINDS]))
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+def free_prefix(columns: list[str]) -> str:
+    """What no column's name starts with, whatever its case."""
+    p = "_pii"
+    while any(c.lower().startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
+def with_spans(df: DataFrame, p: str) -> DataFrame:
+    """Adds {p}base, array<struct<start,end,kind>> of checked spans, and {p}cands, those of the generators that are more than base spans."""
+    name = lambda x: f"{p}{x}"
+    at = lambda x: F.col(name(x))
+    df = df.withColumn(name("t"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, OTHER))
+    df = df.withColumns({name("has_at"): at("t").contains("@"), name("has_digit"): at("t").rlike("[0-9]")})
+    df = df.withColumns({name("mail"): F.when(at("has_at"), mail_marks(at("t"))), name("run"): F.when(at("has_digit"), run_marks(at("t")))})
+    base = {"email": ("mail", EMAIL, at("has_at")), "ip": ("t", IP, at("has_digit")), "card": ("run", CARD, at("has_digit")), "phone": ("t", PHONE, at("t").contains("+"))}
+    df = df.withColumns({name(k): found(at(c), pattern, w) for k, (c, pattern, w) in base.items()})
+
+    def checked(kind: str) -> Column:
+        return F.transform(F.filter(at(kind), lambda s: passes(kind, s["text"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(BASE_KINDS.index(kind)).alias("kind")))
+
+    df = df.withColumn(name("base"), F.array_sort(F.concat(*[checked(k) for k in BASE_KINDS])))
+    wide = [("contact", CONTACT_LIKE, at("has_at")), ("number", NUMBER_LIKE, at("has_digit")), ("number", COMPACT, at("has_digit")), ("secret", SECRET_LIKE, at("has_digit") | at("t").rlike(NAMED))]
+
+    def proposed(kind: str, pattern: str, when: Column) -> Column:
+        free = F.filter(found(at("t"), pattern, when), lambda s: rest_of(s["text"]).rlike(r"[\pL\pN]"))
+        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), s["text"].alias("text"), s["before"].alias("before")))
+
+    df = df.withColumn(name("cands"), F.concat(*[proposed(*w) for w in wide]))
+    return df.drop(*[name(x) for x in ("t", "has_at", "has_digit", "mail", "run", *BASE_KINDS)])
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -200,65 +238,80 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     return d.select("id", "label", "text", F.length("lead").alias("a"), (F.length("lead") + F.length("item")).alias("b"))
 
 
-_trained: dict[str, tuple] = {}
+_trained: dict[str, tuple[Callable[[Column], Column], list[float]]] = {}
+
 
+def _as_column(model, names: list[str]) -> Callable[[Column], Column]:
+    """The trees' probability as an expression over a struct of features."""
 
-def trained(spark: SparkSession):
-    """(assembler, model, threshold), trained once for each application."""
+    def node(n, f: Column) -> Column:
+        if n.subtreeDepth() == 0:
+            return F.lit(float(n.prediction()))
+        split = n.split()
+        return F.when(f[names[split.featureIndex()]] <= F.lit(float(split.threshold())), node(n.leftChild(), f)).otherwise(node(n.rightChild(), f))
+
+    def probability(f: Column) -> Column:
+        total = sum((F.lit(float(w)) * node(t._call_java("rootNode"), f) for w, t in zip(model.treeWeights, model.trees, strict=True)), F.lit(0.0))
+        return 1 / (1 + F.exp(-2 * total))
+
+    return probability
+
+
+def calibrated(scored: list[tuple[float, float]], precision: float = PRECISION) -> float:
+    """The lowest threshold of (probability, label) pairs at which the share of positives among those above reaches the precision; 1.01 if none does."""
+    scored = sorted(scored, reverse=True)
+    cut, good = 1.01, 0.0
+    for i, (p, y) in enumerate(scored, 1):
+        good += y
+        if good >= precision * i and (i == len(scored) or scored[i][0] < p):
+            cut = p
+    return cut
+
+
+def trained(spark: SparkSession) -> tuple[Callable[[Column], Column], list[float]]:
+    """The trees as an expression, and a threshold for each of MORE_KINDS; made once for each application."""
     key = spark.sparkContext.applicationId
     if key not in _trained:
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
 
         made = materialize(examples(spark), "pii-sentences")  # else every use of the text would make it anew
-        rows = with_spans(made).select("id", "label", "a", "b", F.explode("cands").alias("c"))
+        rows = with_spans(made, "_").select("id", "label", "a", "b", F.explode("_cands").alias("c"))
         hit = (F.col("c.start") < F.col("b")) & (F.col("a") < F.col("c.end"))
-        rows = rows.select("id", (hit & (F.col("label") == 1)).cast("double").alias("label"), *[v.alias(k) for k, v in features(F.col("c")).items()])
+        rows = rows.select("id", F.col("c.kind").alias("kind"), (hit & (F.col("label") == 1)).cast("double").alias("label"), *[v.alias(k) for k, v in features(F.col("c")).items()])
         rows = materialize(rows, "pii-examples")
-        assembler = VectorAssembler(inputCols=[c for c in rows.columns if c not in ("id", "label")], outputCol="features")
-        data = assembler.transform(rows)
-        model = GBTClassifier(maxIter=16, maxDepth=4, seed=7, labelCol="label").fit(data.where("id % 3 != 0"))
-        held = model.transform(data.where("id % 3 = 0")).select("label", vector_to_array("probability")[1].alias("p")).collect()  # a third of EXAMPLES
-        held.sort(key=lambda r: -r["p"])
-        cut, good = 1.0, 0
-        for i, r in enumerate(held, 1):
-            good += r["label"]
-            if good >= PRECISION * i and (i == len(held) or held[i]["p"] < r["p"]):
-                cut = r["p"]
-        _trained[key] = (assembler, model, cut)
+        names = [c for c in rows.columns if c not in ("id", "label", "kind")]
+        data = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where("id % 3 != 0"))
+        p = _as_column(GBTClassifier(maxIter=16, maxDepth=4, seed=7, labelCol="label").fit(data), names)
+        held = rows.where("id % 3 = 0").select("kind", p(F.struct(*names)).alias("p"), "label").collect()  # a third of EXAMPLES
+        _trained[key] = p, [calibrated([(r["p"], r["label"]) for r in held if r["kind"] == KINDS.index(k)]) for k in MORE_KINDS]
+        drop(made, rows)
     return _trained[key]
 
 
-def kept(cands: str) -> Column:
-    """Of array<struct<p,start,end,kind>> those that stay, as struct<start,end,kind>."""
-    ranked = F.array_sort(F.transform(cands, lambda s: F.struct((-s["p"]).alias("p"), (s["start"] - s["end"]).alias("n"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        hit = F.exists(acc, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-        return F.when(hit, acc).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    return F.aggregate(ranked, F.array().cast("array<struct<start:int,end:int,kind:int>>"), step)
+def kept(cands: Column) -> Column:
+    """Of array<struct<start,n,p,kind,end>>, sorted, with n = start - end and p negative, those that do not lie within one before; of equal spans the surest."""
+    reach = running(F.transform(cands, lambda s: s["end"]), F.greatest, -1)
+    both = F.zip_with(cands, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r")))
+    some = F.filter(both, lambda x: x["s"].isNotNull() & (x["s"]["end"] > x["r"]))
+    return F.transform(some, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["kind"].alias("kind"))).cast(SPANS)
 
 
-def selected(df: DataFrame) -> DataFrame:
-    """Adds spans, array<struct<start,end,kind>>: the base ones and those that the trees select. df has base, cands and a column row."""
-    from pyspark.ml.functions import vector_to_array
+def with_selected(df: DataFrame, p: str) -> DataFrame:
+    """Adds {p}base and {p}spans, array<struct<start,end,kind>>: the base ones and those that the trees select."""
+    probability, cuts = trained(df.sparkSession)
+    df = with_spans(df, p)
 
-    assembler, model, cut = trained(df.sparkSession)
-    c = df.select("row", F.explode("cands").alias("c")).select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.kind").alias("kind"), *[v.alias(k) for k, v in features(F.col("c")).items()])
-    p = model.transform(assembler.transform(c)).select("row", F.struct(vector_to_array("probability")[1].alias("p"), "start", "end", "kind").alias("s")).where(F.col("s.p") >= cut)
-    more = p.groupBy("row").agg(F.collect_list("s").alias("more"))  # of one document
-    # surest first, with equal odds the longer, then the earlier: each stays unless it overlaps one that stays
-    more = more.select("row", kept("more").alias("more"))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    return df.join(more, "row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", none))))
+    def scored(c: Column) -> Column:
+        f = F.struct(*[v.alias(k) for k, v in features(c).items()])
+        odds = let(f, probability)
+        return F.struct(c["start"].alias("start"), (c["start"] - c["end"]).alias("n"), (-odds).alias("p"), c["kind"].alias("kind"), c["end"].alias("end"))
 
-
-def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans of every row."""
-    narrow = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text").withColumn("row", F.monotonically_increasing_id())
-    return selected(materialize(narrow, "pii")).select("doc_id", "base", "spans")
+    limit = lambda s: F.element_at(F.array(*map(F.lit, cuts)), s["kind"] - len(BASE_KINDS) + 1)
+    sure = F.array_sort(F.filter(F.transform(f"{p}cands", scored), lambda s: -s["p"] >= limit(s)))
+    df = df.withColumn(f"{p}sure", sure)
+    df = df.withColumn(f"{p}spans", F.array_sort(F.concat(f"{p}base", F.when(F.size(f"{p}sure") > 0, kept(F.col(f"{p}sure"))).otherwise(F.array().cast(SPANS)))))
+    return df.drop(f"{p}cands", f"{p}sure")
 
 
 def digest(spans: Column) -> Column:
@@ -270,26 +323,43 @@ def digest(spans: Column) -> Column:
 
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans."""
-    s = spans_of(docs)
-    kinds = F.transform("base", lambda x: x["kind"])
+    s = with_selected(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "_")
+    kinds = F.transform("_base", lambda x: x["kind"])
     return s.select(
-        "doc_id", *[(F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)],
-        F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"),
+        "doc_id", *[(F.size("_base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)],
+        F.sha2(digest(F.col("_base")), 256).alias("base_sha256"), digest(F.col("_spans")).alias("spans"),
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with [kind] in place of every selected span of text; of overlapping spans the earlier is replaced whole."""
-    d = materialize(with_spans(docs.withColumn("row", F.monotonically_increasing_id())), "pii")
-    d = selected(d)
+#: Code points of a piece of text that redaction cuts from.
+PIECE = 512
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """text with [kind] in place of every run of overlapping spans (sorted), named by its first one."""
     names = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], inside).otherwise(new)
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        """The text from a to b."""
+        first = F.floor(a / PIECE).cast("int")
+        some = F.slice(pieces, first + 1, F.greatest(F.lit(0), F.ceil(b / PIECE).cast("int") - first))
+        inside = lambda x, i: F.substring(x, F.greatest(F.lit(0), a - (first + i) * PIECE) + 1, F.least(F.lit(PIECE), b - (first + i) * PIECE) - F.greatest(F.lit(0), a - (first + i) * PIECE))
+        return F.when(b > a, F.array_join(F.transform(some, inside), "")).otherwise(F.lit(""))
 
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return d.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    def put(pieces: Column) -> Column:
+        n = F.length(text)
+        ended = F.concat(spans, F.array(F.struct(n.alias("start"), n.alias("end"), F.lit(-1).alias("kind"))))
+        both = F.zip_with(ended, running(F.transform(spans, lambda s: s["end"]), F.greatest), lambda s, r: F.struct(s.alias("s"), r.alias("r")))
+        heads = F.filter(both, lambda x: (x["s"]["start"] >= x["r"]) | (x["s"]["kind"] < 0))
+        name = lambda s: F.when(s["kind"] >= 0, F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))).otherwise(F.lit(""))
+        return F.array_join(F.transform(heads, lambda x: F.concat(between(pieces, x["r"], x["s"]["start"]), name(x["s"]))), "")
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), put)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """All rows and columns, with [kind] in place of every selected span of text; overlapping spans are replaced together."""
+    p = free_prefix(docs.columns)
+    d = with_selected(docs, p)
+    d = d.withColumn("text", F.when(F.size(f"{p}spans") > 0, redacted(F.col("text"), F.col(f"{p}spans"))).otherwise(F.col("text")))
+    return d.drop(f"{p}base", f"{p}spans")
