@@ -218,20 +218,20 @@ def near_items(post: DataFrame, items: DataFrame, counts: DataFrame, within: int
     return got.select("key", "item_id").distinct().groupBy("key").agg(F.count("*").alias("n_near"))
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = WIDTH, anchors: int = ANCHORS, near: bool = False) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, width: int = WIDTH, anchors: int = ANCHORS, near: bool = False, keys: bool = False) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with near also n_near, the items whose
-    rarest terms stand within `width` words of the rarest one, in any order."""
+    rarest terms stand within `width` words of the rarest one, in any order; with keys also key, the MD5 sum of the text."""
     ship(spark)
     wins = materialize(windows(items, width), "windows")
     grams = wins.groupBy("window_id").agg(F.first("gram").alias("gram"))
     parts = grams.select("window_id", F.posexplode(F.split("gram", " ")).alias("o", "term"))
     counts = materialize(term_counts(docs, parts.select("term").distinct()), "terms")
     ways = materialize(_rarest(parts, "window_id", counts, anchors), "ways")
-    keys = materialize(ways.select(F.explode(F.array(*[f"t{k}" for k in range(anchors)])).alias("term")).distinct(), "anchors")
-    post = materialize(postings(docs, keys), "postings")
+    posted = materialize(ways.select(F.explode(F.array(*[f"t{k}" for k in range(anchors)])).alias("term")).distinct(), "anchors")
+    post = materialize(postings(docs, posted), "postings")
     cand = materialize(candidates(post, ways, counts, anchors), "candidates")
     blocks = materialize(confirmed(docs, cand, grams, width), "hits")
-    drop(cand, ways, keys)
+    drop(cand, ways, posted)
 
     found = blocks.select("key", F.explode("windows").alias("window_id")).distinct().join(wins.select("window_id", "item_id"), "window_id")
     found = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))  # at most all items
@@ -255,10 +255,17 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, width:
             F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
             ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
             *([F.coalesce("n_near", F.lit(0)).alias("n_near")] if near else []),
+            *(["key"] if keys else []),
         )
     )
 
 
+def keep_clean(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """All rows and columns of the documents that are not contaminated; a row's own text decides."""
+    bad = contamination(spark, docs, items, keys=True).where("contaminated").select("key").distinct()
+    return docs.join(bad, F.unhex(F.md5(F.col("text").cast("binary"))) == bad["key"], "left_anti")
+
+
 def proximity(docs: DataFrame, terms: list[str], within: int) -> DataFrame:
     """Documents where all terms stand within `within` words of the rarest one, in any order: doc_id, and that term's position."""
     spark = docs.sparkSession

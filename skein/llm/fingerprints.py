@@ -8,8 +8,8 @@ the texts are apart: its squared length, each digit less its mean of 7.5, grows
 only one of them has.
 
 Defined cases: null and empty texts have no paragraphs and the fingerprint of zeros; two texts without paragraphs are alike
-(1), one with and one without are not (0); repeated rows and ties of doc_id are taken in the order of their texts; a row
-without doc_id comes first; an empty table gives no rows; columns other than doc_id and text are not read.
+(1), one with and one without are not (0); repeated rows and ties of doc_id are taken in the order of a hash of their
+texts; a row without doc_id comes first; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
 
 
-def with_next(docs: DataFrame, range_rows: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, range_rows: int = 4_000) -> DataFrame:
     """doc_id, text ('' for null), fp, next_text and next_fp: those of the next row by doc_id; after the last, of the first.
 
     Rows are dealt into ranges of doc_id at sampled quantiles. Every range also gets the first row of the range after it, so
@@ -117,7 +117,7 @@ def with_next(docs: DataFrame, range_rows: int = 20_000) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
     n = d.count()
-    m = min(65_536, max(24, n // range_rows))
+    m = min(65_536, max(96, n // range_rows))
     cuts = sorted({int(c) for c in d.approxQuantile("k", [i / m for i in range(1, m)], 0.2 / m)}) if n else []
     step = max(1, int(len(cuts) ** 0.5))
     fine = [cuts[i : i + step] for i in range(0, len(cuts), step)] or [[0]]
@@ -125,9 +125,16 @@ def with_next(docs: DataFrame, range_rows: int = 20_000) -> DataFrame:
     up_to = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("k")))
     d = d.withColumn("g", F.greatest(F.lit(1), up_to(F.array(*[F.lit(f[0]) for f in fine]))))
     d = d.withColumn("rng", F.col("g") * (step + 1) + up_to(F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in fine]), F.col("g"))))
+    # many rows of one doc_id, or without one, make one range: it is cut further at equal parts of the hash, which orders them
+    sizes = d.groupBy("rng").agg(F.count("*").alias("n")).where(F.col("n") > 4 * max(range_rows, n // m)).collect()  # at most a row a range
+    d = d.withColumn("rng", F.shiftleft(F.col("rng").cast("long"), 20))
+    if sizes:
+        parts = docs.sparkSession.createDataFrame([(r["rng"] << 20, min(1 << 19, -(-r["n"] // range_rows))) for r in sizes], "of long, parts long")
+        cut = F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("parts")).cast("long")
+        d = d.join(F.broadcast(parts), F.col("rng") == F.col("of"), "left").withColumn("rng", F.col("rng") + F.coalesce(cut, F.lit(0))).drop("of", "parts")
     heads = sorted((r["rng"], r["f"]["k"], r["f"]["h"]) for r in d.groupBy("rng").agg(F.min(F.struct("k", "h")).alias("f")).collect())  # a row a range
     after = [(heads[i - 1][0], k, h) for i, (_, k, h) in enumerate(heads)]
-    after = F.broadcast(docs.sparkSession.createDataFrame(after, "to int, k long, h long"))
+    after = F.broadcast(docs.sparkSession.createDataFrame(after, "to long, k long, h long"))
     extra = d.join(after, ["k", "h"]).select("doc_id", "text", "k", "h", F.col("to").alias("rng"), F.lit(1).alias("last"))
     d = with_fingerprint(d.select("doc_id", "text", "k", "h", "rng", F.lit(0).alias("last")).unionByName(extra), "text", "fp")
     w = Window.partitionBy("rng").orderBy("last", "k", "h")

@@ -415,8 +415,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").unionByName(own)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold_percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (that one)."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold_percent: int = 80, hashes: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (that one); with hashes also th, xxhash64 of the text."""
     ship(spark)
     threshold = threshold_percent / 100
     sigs = materialize(signatures(docs, shingle), "signatures")
@@ -475,7 +475,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, thre
     alone = classes.join(comps, "node", "left_anti").where("copies > 1").select("set_key", F.col("doc_id").alias("component_id"), "copies")
     member = materialize(known.unionByName(alone), "members")
     drop(linked, roots, comps, classes)
-    out = sigs.select("doc_id", "n_shingles", "set_key")
-    shared = join_spread(out, member, "set_key", "copies", out.count()).select("doc_id", "n_shingles", "component_id")
-    single = out.join(member, "set_key", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return shared.unionByName(single).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = sigs.select("doc_id", "n_shingles", "set_key", *(more := ["th"] if hashes else []))
+    shared = join_spread(out, member, "set_key", "copies", out.count()).select("doc_id", "n_shingles", "component_id", *more)
+    single = out.join(member, "set_key", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *more)
+    return shared.unionByName(single).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), *more)
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold_percent: int = 80) -> DataFrame:
+    """All columns of the rows that stay: of each group that of the smallest doc_id. Rows without doc_id stay, as do texts without words."""
+    drop_ = near_duplicates(spark, docs, shingle, threshold_percent, hashes=True).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
+    return docs.join(drop_, (F.col("doc_id").cast("long") == F.col("_gone")) & (F.xxhash64(F.col("text").cast("binary")) == F.col("_gone_th")), "left_anti")

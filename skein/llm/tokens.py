@@ -30,7 +30,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         by_id = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         #: Whether the token of an id starts with a space (a byte-level vocabulary writes it so).
         self.starts = np.array([by_id.get(i, "").startswith("\u0120") for i in range(max(by_id) + 1)])

@@ -2,8 +2,8 @@
 
 Categories are predicted in a fixed order; every model after the first also gets the earlier categories' probabilities. In
 training these are out-of-fold predictions, so later models learn from probabilities as honest as those they meet in use.
-Features are the presence of words that speak for or against a category (chi-squared over the sample) and some ratios of the
-text. The threshold of each category is the one of best F1 on out-of-fold predictions.
+Features are the presence of words that speak for or against a category (chi-squared, for each fold over the other folds only)
+and some ratios of the text. The threshold of each category is the one of best F1 on out-of-fold predictions.
 
 The models are fitted on a bounded sample of labelled rows (`sample`, drawn by a hash of doc_id), so the sample, the
 vocabulary and the weights stay small; scoring covers every whole text.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import columns_of, doc_bytes, map_batches, words
 from skein.session import drop, materialize, ship
 
-SAMPLE, VOCABULARY, FOLDS = 20_000, 768, 4
+SAMPLE, VOCABULARY, FOLDS = 20_000, 192, 4
 DENSE = 6
 
 
@@ -52,7 +52,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_linear(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, l2: float = 1.0, steps: int = 200) -> np.ndarray:
+def fit_linear(row: np.ndarray, col: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, l2: float = 5.0, steps: int = 200) -> np.ndarray:
     """Logistic regression on sparse 0/1 columns and dense ones; weights of sparse, dense, and the constant."""
     n, d = dense.shape
     w, m, v = np.zeros(width + d + 1), np.zeros(width + d + 1), np.zeros(width + d + 1)
@@ -105,36 +105,51 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     ship(spark)
     cats = categories()
     known = labels.where("quality is not null and toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), *[c.alias(k) for k, c in cats.items()])
-    n = known.count()
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20))))
-    # `sample` ids at most, so they can be sent to every task
-    rows = doc_bytes(docs).join(F.broadcast(known.limit(sample)), F.col("doc_id") == F.col("id")).drop("id")
+    # drawn by a hash of doc_id, so the same rows whatever their order; `sample` at most, so they can be sent to every task
+    drawn = known.orderBy(F.xxhash64("id"), "id", *cats).limit(sample)
+    fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")
+    rows = doc_bytes(docs).join(F.broadcast(drawn.select("*", fold)), F.col("doc_id") == F.col("id")).drop("id")
     rows = materialize(rows, "labelled")
     names = list(cats)
 
-    each = map_batches(rows.select("doc_id", "text"), lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([[w.decode() for w in set(words(t.as_py()))] for t in b.column(1)], pa.list_(pa.string()))], ["doc_id", "word"]), "doc_id long, word array<string>")
-    each = each.select("doc_id", F.explode("word").alias("word")).join(F.broadcast(rows.select("doc_id", *names).distinct()), "doc_id")
-    stats = each.groupBy("word").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names]).where("n >= 3")
-    total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in names]).first()
-    share = [total[k] / max(1, total["n"]) for k in names]
-    chi = [F.pow(F.col(k) - F.col("n") * s, 2) / (F.col("n") * F.lit(max(1e-9, s * (1 - s)))) for k, s in zip(names, share, strict=True)]
-    stats = materialize(stats.select("word", *[c.alias(f"c{i}") for i, c in enumerate(chi)]), "words")
-    chosen = sorted({r["word"].encode() for i in range(len(names)) for r in stats.orderBy(F.desc(f"c{i}"), "word").limit(vocabulary // len(names)).collect()})
+    def word_lists(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = pa.array([[w.decode() for w in set(words(t.as_py()))] for t in b.column("text")], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([lists, *(b.column(c) for c in ("fold", *names))], ["word", "fold", *names])
+
+    each = map_batches(rows.select("text", "fold", *names), word_lists, f"word array<string>, fold int, {', '.join(f'{k} int' for k in names)}")
+    each = each.select(F.explode("word").alias("word"), "fold", *names)
+    stats = materialize(each.groupBy("word", "fold").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names]), "words")
+    totals = rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names]).collect()  # a row a fold
+
+    def chosen_words(without: int | None) -> set[bytes]:
+        """The words of most chi-squared for each category, over all folds but one."""
+        seen = stats if without is None else stats.where(F.col("fold") != without)
+        seen = seen.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in names]).where("n >= 3")
+        used = [t for t in totals if t["fold"] != without]
+        out: set[bytes] = set()
+        for k in names:
+            s = sum(t[k] for t in used) / max(1, sum(t["n"] for t in used))
+            chi = F.pow(F.col(k) - F.col("n") * s, 2) / (F.col("n") * F.lit(max(1e-9, s * (1 - s))))
+            out |= {r["word"].encode() for r in seen.orderBy(chi.desc(), "word").limit(vocabulary // len(names)).collect()}
+        return out
+
+    final, of_fold = chosen_words(None), [chosen_words(f) for f in range(folds)]
+    chosen = sorted(final.union(*of_fold))
     vocab = {w: i for i, w in enumerate(chosen)}
 
-    data = map_batches(rows.select("doc_id", "text", *names), _featurizer(vocab, names), f"doc_id long, cols array<int>, dense array<double>, {', '.join(f'{k} int' for k in names)}").collect()
+    data = map_batches(rows.select("doc_id", "text", "fold", *names), _featurizer(vocab, ["fold", *names]), f"doc_id long, cols array<int>, dense array<double>, fold int, {', '.join(f'{k} int' for k in names)}").collect()
     drop(rows, stats)
-    data.sort(key=lambda r: (r["doc_id"], r["cols"]))
+    data.sort(key=lambda r: (r["doc_id"], r["cols"], r["dense"]))
     if not data:
-        return Chain(names, vocab, np.zeros(DENSE), np.ones(DENSE), [None] * len(names), [0.0] * len(names), [2.0] * len(names))
+        return Chain(names, {}, np.zeros(DENSE), np.ones(DENSE), [None] * len(names), [0.0] * len(names), [2.0] * len(names))
     row = np.repeat(np.arange(len(data)), [len(r["cols"]) for r in data])
     col = np.fromiter((c for r in data for c in r["cols"]), dtype=np.int64, count=len(row))
     dense = np.array([r["dense"] for r in data])
     mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
     x = (dense - mean) / scale
-    ids = np.array([r["doc_id"] for r in data], dtype=np.uint64)
-    fold = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % folds
+    fold = np.array([r["fold"] for r in data])
+    known_to = [np.array([w in v for w in chosen], dtype=bool) for v in [*of_fold, final]]  # columns that a fold's model, and the last, may use
+    final_at = np.flatnonzero(known_to[-1])
     weights, base, cuts = [], [], []
     for k in names:
         y = np.array([r[k] for r in data], dtype=float)
@@ -149,13 +164,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
             a, b = fold != f, fold == f
             if not b.any() or y[a].min() == y[a].max():
                 continue
-            keep, at = a[row], np.cumsum(a) - 1
+            mine = known_to[f][col]
+            keep, at = a[row] & mine, np.cumsum(a) - 1
             w = fit_linear(at[row[keep]], col[keep], x[a], y[a], len(vocab))
-            out[b] = sigmoid(np.bincount(row, w[col], len(y)) + x @ w[len(vocab) : -1] + w[-1])[b]
-        weights.append(fit_linear(row, col, x, y, len(vocab)))
+            out[b] = sigmoid(np.bincount(row[mine], w[col[mine]], len(y)) + x @ w[len(vocab) : -1] + w[-1])[b]
+        mine = known_to[-1][col]
+        w = fit_linear(row[mine], col[mine], x, y, len(vocab))
+        weights.append(np.concatenate((w[final_at], w[len(vocab) :])))
         cuts.append(best_threshold(out, y))
         x = np.column_stack((x, out))
-    return Chain(names, vocab, mean, scale, weights, base, cuts)
+    return Chain(names, {chosen[c]: i for i, c in enumerate(final_at.tolist())}, mean, scale, weights, base, cuts)
 
 
 def _featurizer(vocab: dict[bytes, int], names: list[str]):

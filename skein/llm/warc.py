@@ -17,6 +17,7 @@ than page_id, url and html are not read.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -64,7 +65,7 @@ def record(page: int | None, url: str | None, payload: bytes, size: int, digest:
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], int, bytes]:
-    """Headers, the payload's full length, and the payload (empty for a revisit)."""
+    """Headers, the payload's full length as its head gives it, and the payload (empty for a revisit)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -141,10 +142,16 @@ def write_archive(spark: SparkSession, pages: DataFrame, folder: str, smallest:
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     p = p.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    groups = p.where((F.col("size") >= smallest) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = p.where((F.col("size") >= smallest) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = materialize(groups, "equal")
-    ways = F.broadcast(groups) if groups.count() <= SEND_MOST else groups
-    p = p.join(ways, "digest", "left").withColumn("refers", F.when((F.col("size") >= smallest) & (F.col("page_id") != F.col("first")), F.col("first")))
+    n_groups, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_groups <= SEND_MOST:
+        p = p.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:  # the payloads of a page that many others repeat stay where they are
+        most = max(1000, n_rows // 1000)
+        hot = F.broadcast(groups.where(F.col("n") > most).drop("n"))  # at most a thousand
+        p = p.join(hot, "digest").unionByName(p.join(hot.select("digest"), "digest", "left_anti").join(groups.where(F.col("n") <= most).drop("n"), "digest", "left"))
+    p = p.withColumn("refers", F.when((F.col("size") >= smallest) & (F.col("page_id") != F.col("first")), F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_fs(folder)
@@ -175,7 +182,7 @@ def write_archive(spark: SparkSession, pages: DataFrame, folder: str, smallest:
 
 
 def read_archive(index: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the index, read from its bundle: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload)."""
+    """Every record of the index, read from its bundle; size and digest of a response are those of the payload read. page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload)."""
     frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("at"))  # the records of one frame
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
@@ -186,7 +193,10 @@ def read_archive(index: DataFrame, payloads: bool = False) -> DataFrame:
                 for x in places:
                     h, size, payload = parse(content[x["offset"] : x["offset"] + x["length"]])
                     page, refers = h["WARC-Record-ID"][10:-1], h.get("WARC-Refers-To", "")[10:-1]
-                    rows.append((int(page) if page else None, h["WARC-Target-URI"], size, h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], int(refers) if refers else None, payload)[: 6 + payloads])
+                    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if not refers:  # what was read counts, not what the head says
+                        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                    rows.append((int(page) if page else None, h["WARC-Target-URI"], size, digest, h["WARC-Type"], int(refers) if refers else None, payload)[: 6 + payloads])
                 cols = list(zip(*rows, strict=True))
                 types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 + payloads])

@@ -103,6 +103,34 @@ def test_fingerprints(spark, some, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def python_likeness(a, b):
+    def counters(text):
+        ps = [p for p in (x.strip(" ") for x in re.sub(r"([.!?;|]) +", "\\1\n", text or "").split("\n")) if p]
+        return np.array([[int(c, 16) - 7.5 for c in hashlib.sha256(p.encode()).hexdigest()[:60]] for p in ps]).reshape(-1, 60).sum(axis=0), sorted(ps)
+
+    (x, p), (y, q) = counters(a), counters(b)
+    if p == q:
+        return 1.0
+    return 0.0 if not p or not q else max(0.0, 1 - ((x - y) ** 2).sum() / ((x**2).sum() + (y**2).sum()))
+
+
+def test_likenesses(spark, docs):
+    rows = sorted(rows_of(docs))
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        q = len(t) // 4
+        assert abs(got[i]["near_edited"] - python_likeness(t, t[: len(t) - q] + after[:q])) < 1e-9 and abs(got[i]["near_next"] - python_likeness(t, after)) < 1e-9
+
+
+def test_fingerprints_of_one_doc_id(spark):
+    """Thousands of rows without doc_id are dealt over many ranges, and each still meets the next one."""
+    d = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).unionByName(spark.createDataFrame([(7, "last")], "doc_id long, text string"))
+    got = fingerprints.with_next(d, range_rows=50)
+    assert got.count() == 3001 and got.select("next_text").distinct().count() == 3001
+    assert got.where("doc_id = 7").first()["next_text"] != "last"
+
+
 def test_fingerprint_is_homomorphic(spark):
     d = spark.createDataFrame([("one\ntwo\nthree", "three\none", "two")], "a string, b string, c string")
     f = lambda c: fingerprints.fingerprint(F.col(c))
@@ -125,7 +153,6 @@ def plain_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -151,7 +178,7 @@ def test_token_edits_at_random():
 
     enc, plain, rnd = token_counts.encoder(tokenizer()), plain_tokenizer(), random.Random(5)
     for _ in range(150):
-        text = "".join(rnd.choice(["ab", " ", "  ", "\n", "x1", "é", ".", " the", "'s", "\t", " don"]) for _ in range(rnd.randrange(600)))
+        text = "".join(rnd.choice(["ab", "<|endoftext|>", " ", "  ", "\n", "x1", "é", ".", " the", "'s", "\t", " don"]) for _ in range(rnd.randrange(600)))
         tree = token_counts.build(enc, text)
         for _ in range(6):
             a, b = rnd.randrange(len(text) + 2), rnd.choice([0, 1, 3, 40, 900])
@@ -169,6 +196,29 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["p_toxic"] <= 1 for r in got)
 
 
+def test_chain_by_hand(spark, docs):
+    """Probabilities from the chain's weights by plain loops; a doc_id's label does not depend on the rows' order."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    chain = toxicity.fit(spark, docs, labels)
+    again = toxicity.fit(spark, docs.orderBy(F.desc("doc_id")), labels.orderBy(F.rand(3)))
+    assert chain.thresholds == again.thresholds and chain.vocabulary == again.vocabulary
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    for i, t in rows_of(docs):
+        raw = (t or "").encode()
+        w = [x.encode() for x in words(t)]
+        x = [(v - m) / s for v, m, s in zip(toxicity.ratios(raw, w), chain.mean, chain.scale, strict=True)]
+        before = []
+        for k, (name, weights) in enumerate(zip(chain.names, chain.weights, strict=True)):
+            p = chain.base[k]
+            if weights is not None:
+                n = len(chain.vocabulary)
+                z = weights[-1] + sum(weights[c] for v, c in chain.vocabulary.items() if v in w) + sum(a * b for a, b in zip(x, weights[n:], strict=False)) + sum(a * b for a, b in zip(before, weights[n + len(x) :], strict=False))
+                p = 1 / (1 + np.exp(-z))
+            before.append(p)
+            assert abs(got[i][f"p_{name}"] - p) < 1e-6
+        assert got[i]["toxic"] == (before[chain.names.index("toxic")] >= chain.thresholds[chain.names.index("toxic")])
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0, 1, "x"), (2, 1, 0, "x"), (5, None, 1, "x"), (None, 1, 1, "x")], "doc_id long, quality int, toxic int, text string")
     chain = toxicity.fit(spark, odd, labels)
@@ -179,7 +229,7 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.keep_clean(odd, none).columns == odd.columns and toxicity.keep_clean(odd, none).count() == len(ODD)
 
 
-def test_warc(spark, sf):
+def test_warc(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     big = "<p>" + "x" * 2000
     more = spark.createDataFrame([(9001, "u", big), (9002, None, big), (9003, "http://a b\r\nc", big), (9004, "v", "small"), (9005, "v", "small"), (9006, "w", None), (9007, "w", ""), (9008, "é", "é" * 500)], "page_id long, url string, html string")
@@ -196,6 +246,12 @@ def test_warc(spark, sf):
     got = warc.read_archive(index, payloads=True).collect()
     assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
     assert all(bytes(r["payload"]) == dict(rows)[r["page_id"]] for r in got if r["record_type"] == "response")
+    damaged = warc.record(1, "u", b"b" * 1500, 1500, hashlib.sha1(b"a" * 1500).hexdigest(), None)
+    writer = warc.BundleWriter(open(tmp_path / "x.warc.zst", "wb"))
+    frame, at = writer.add(damaged)
+    writer.close()
+    read = warc.read_archive(spark.createDataFrame([(1, f"file:{tmp_path}/x.warc.zst", frame, at, len(damaged))], "page_id long, bundle string, frame int, offset int, length int")).first()
+    assert read["payload_digest"] == hashlib.sha1(b"b" * 1500).hexdigest()
     one = index.where("page_id = 9004").first()
     assert warc.parse(warc.read_frame(one["bundle"], one["frame"])[one["offset"] : one["offset"] + one["length"]])[2] == b"small"
     assert warc.archive_and_read(spark, pages.limit(0)).count() == 0
