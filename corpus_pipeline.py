@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skein.llm import decontam, neardup, packing, pii, toxicity
 from skein.llm.common import table
 from skein.llm.queries import tokenizer
-from skein.session import scratch_path
+from skein.session import delete, mark, release, scratch_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,14 +19,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group (five-word shingles, similarity of 0.8 or more)."""
-    drop = neardup.near_duplicates(spark, docs, shingle=5, threshold_percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("gone"), "left_anti")
+    return neardup.keep_first(spark, docs, shingle=5, threshold_percent=80)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages by the contamination rule."""
-    drop = decontam.contamination(spark, docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("gone"), "left_anti")
+    return decontam.keep_clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +45,19 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Trained models and tokenizers have no SQL; tests hold every stage against a brute-force version.
+#: Trained models and tokenizers have no SQL; tests/llm holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES:
+        since = mark()
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        # this stage's output is written, so neither its scratch tables nor the output before it are read again
+        release(since, keep=(path,))
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -81,10 +81,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [m for m in _made if m[1] != path]
 
 
 def drop(*frames: DataFrame) -> None:
@@ -92,8 +94,7 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_skein_path", None)
         if path:
-            _delete(df.sparkSession, path)
-            _made[:] = [m for m in _made if m[1] != path]
+            delete(df.sparkSession, path)
 
 
 def mark() -> int:
@@ -103,13 +104,9 @@ def mark() -> int:
 
 def release(since: int = 0, keep: tuple[str, ...] = ()) -> None:
     """Delete the scratch paths made since a mark, but for those to keep. Results that were not written or read yet need theirs."""
-    left = []
-    for spark, path in _made[since:]:
-        if path in keep:
-            left.append((spark, path))
-        elif spark.sparkContext._jsc is not None:
-            _delete(spark, path)
-    _made[since:] = left
+    for spark, path in list(_made[since:]):
+        if path not in keep and spark.sparkContext._jsc is not None:
+            delete(spark, path)
 
 
 @atexit.register
