@@ -3,7 +3,7 @@ row, and all requests of a batch are answered by one join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.net import is_private_ip
@@ -11,6 +11,10 @@ from skein.functions.strings import first_present, let, present, wide_trim
 from skein.functions.url import linkedin_post_id, url_variants
 
 
+#: Up to this many bytes are sent to every task.
+SEND_BYTES = 16 << 20
+
+
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is greatest by `order`. An aggregate, so a hot key is combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
@@ -57,6 +61,37 @@ def served(df: DataFrame) -> DataFrame:
     )
 
 
+def newest_shortlinks(bookmarks: DataFrame, mark: str = "lnkd.in", most: int = 10) -> DataFrame:
+    """Each user's newest bookmarks of short links. The ranks are limited before the shuffle, so a user with many stays cheap."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
+    return bookmarks.where(F.lower("url").contains(mark)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def inserted(old: DataFrame, records: DataFrame, at: Column) -> DataFrame:
+    """Old with new rows (id and the fields of a record) in the form in which they are stored: blanks of optional fields are null."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    empty = {"logo_url": blank("logo_url"), "snapshot_url": blank("snapshot_url"), "card_data": F.when(F.col("card_data") != "{}", F.col("card_data")), "created_at": at}
+    return old.unionByName(records.select(*[empty.get(c, F.col(c)).alias(c) if c in empty else F.col(c) for c in old.columns]))
+
+
+def inserted_articles(old: DataFrame, bookmarks: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Old with the extracted articles (bookmark_id, content_html, ...) of bookmarks that are articles."""
+    owners = bookmarks.where("is_article").select(F.col("id").alias("bookmark_id"), "user_id")
+    new = extracted.join(owners, "bookmark_id").withColumn("content_markdown", F.nullif("content_markdown", F.lit("")))
+    return old.unionByName(new.select(*old.columns))
+
+
+def requested(bookmarks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The bookmark of every request (request_id, id, user_id), if it is that user's."""
+    return requests.join(bookmarks, ["id", "user_id"])
+
+
+def article_html(articles: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id and the article's HTML; null without an article."""
+    a = articles.select(F.col("bookmark_id").alias("_id"), "content_html")
+    return requests.join(a, F.col("id") == F.col("_id"), "left").select("request_id", "content_html")
+
+
 def page_bounds(limit: Column, offset: Column) -> tuple[Column, Column]:
     """P20: limit 250 if it is no number, else 1 to 500; offset 0 if it is no number, at least 0."""
     number = lambda c: F.nullif(F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).try_cast("long")
@@ -143,9 +178,13 @@ def with_listed_domains(mails: DataFrame, listed: DataFrame, mail: str = "mail")
     """Mails with `listed`: whether their domain or one above it is in the list (domain, wildcard)."""
     from skein.functions.net import mail_domain, parent_domains
 
-    own = mails.select(mail).distinct().select(mail, F.posexplode(parent_domains(mail_domain(F.col(mail)))).alias("depth", "domain"))
-    hit = own.join(listed.groupBy("domain").agg(F.max("wildcard").alias("wildcard")), "domain").where("depth = 0 or wildcard").select(F.col(mail).alias("_mail")).distinct()
-    return mails.join(hit, F.col(mail).eqNullSafe(F.col("_mail")), "left").withColumn("listed", F.col("_mail").isNotNull()).drop("_mail")
+    d = mails.withColumn("_of", mail_domain(F.col(mail)))
+    rules = listed.groupBy("domain").agg(F.max("wildcard").alias("wildcard"))
+    # domains are far fewer than mails; those that are listed are no more than that, and what is small is sent to every task
+    few = (rules.agg(F.sum(F.octet_length("domain") + 64)).first()[0] or 0) <= SEND_BYTES
+    own = d.select("_of").distinct().select("_of", F.posexplode(parent_domains(F.col("_of"))).alias("depth", "domain"))
+    hit = own.join(F.broadcast(rules) if few else rules, "domain").where("depth = 0 or wildcard").select(F.col("_of").alias("_hit")).distinct()
+    return d.join(hit, F.col("_of") == F.col("_hit"), "left").withColumn("listed", F.col("_hit").isNotNull()).drop("_of", "_hit")
 
 
 def content_groups(urls: DataFrame, keys: Column, url: str = "url") -> DataFrame:

@@ -21,7 +21,7 @@ def _both(name: str) -> tuple[str, str]:
 
 
 def parsed(pages: DataFrame, link: str = "url", source: str = "html") -> DataFrame:
-    """HF1: pages with `found`: meta tags, links, JSON-LD, plain elements, counts and the article of every page. Tags come from
+    """HF1: pages with `found`: meta tags, links, JSON-LD, plain elements and counts, and `_article`, which costs nothing where no column is made of it. Tags come from
     patterns on the JVM; only the article's nesting needs the Arrow UDF, once a page."""
     ship(pages.sparkSession)
     d = pages.withColumn("_h", html.without_comments(F.col(source)))
@@ -33,9 +33,9 @@ def parsed(pages: DataFrame, link: str = "url", source: str = "html") -> DataFra
         html.element_text(F.col("_h"), "title").alias("title"), html.element_text(F.col("_plain"), "h1").alias("h1"), html.first_paragraph(F.col("_plain")).alias("p"),
         html.attribute(F.regexp_extract("_plain", r"(?is)<[a-z-]+\b[^>]*\scontent-href\s*=[^>]*>", 0), "content-href").alias("content_href"),
         count(PASSWORD_INPUT).alias("passwords"), count(LOGIN_FORM).alias("login_forms"), count(r"(?i)<input\b").alias("inputs"), count(r"(?i)<article\b").alias("articles"),
-        count(CODE_BLOCK).alias("code_blocks"), F.col("_article").alias("article"),
+        count(CODE_BLOCK).alias("code_blocks"),
     )
-    return d.withColumn("found", found).drop("_h", "_plain", "_article")
+    return d.withColumn("found", found).drop("_h", "_plain")
 
 
 def metadata(d: DataFrame, link: str = "url", source: str = "html", json_ld: bool = True) -> DataFrame:
@@ -60,21 +60,21 @@ def metadata(d: DataFrame, link: str = "url", source: str = "html", json_ld: boo
     )
     published_meta = m("property=article:published_time")
     article_meta = (F.coalesce(m("property=og:type"), F.lit("")) == "article") | F.coalesce(of_ld("type").rlike("(?i)article|blogposting"), F.lit(False)) | published_meta.isNotNull() | m("name=article:author", "property=article:author").isNotNull()
-    words = F.coalesce(f["article"]["words"], F.lit(0))
+    words = F.coalesce(F.col("_article")["words"], F.lit(0))
     d = d.withColumn("title", title).withColumn("description", description)
     wall = classify.is_login_wall(F.col("title"), F.col("description")) | (F.lower(F.coalesce("title", F.lit(""))) == "login")
     d = d.withColumn("title", F.when(~wall, F.col("title"))).withColumn("description", F.when(~wall, F.col("description")))
     d = d.withColumn("blocked", F.col(source).isNull() | text.is_access_denied(F.col("title"), F.col("description"), F.col(source)))
     kept = lambda c: F.when(~F.col("blocked"), c)
     return d.select(
-        *[c for c in d.columns if c not in ("title", "description", "found", source)], kept(F.col("title")).alias("title"), kept(F.col("description")).alias("description"),
+        *[c for c in d.columns if c not in ("title", "description", "found", "_article", source)], kept(F.col("title")).alias("title"), kept(F.col("description")).alias("description"),
         kept(image).alias("image"), F.coalesce(kept(url.resolve_url(logo, u)), url.resolve_url(F.lit("/favicon.ico"), u)).alias("logo"), kept(m("property=og:site_name")).alias("site"),
         kept(first_present(F.coalesce(m("name=author", "property=article:author", "name=twitter:creator"), of_ld("author")))).alias("author"),
         kept(first_present(F.coalesce(published_meta, m("name=pubdate", "name=date"), of_ld("published")))).alias("published_at"),
         kept(F.coalesce(present(F.coalesce(m("property=og:type"), of_ld("type"))), F.lit("website"))).alias("type"), kept(url.resolve_url(of_ld("avatar"), u)).alias("author_avatar"),
         kept(classify.page_intent(u, f["passwords"], f["login_forms"], f["inputs"], article_meta, f["articles"], f["code_blocks"], words)).alias("intent"),
-        kept(words).alias("words"), kept(F.coalesce(f["article"]["minutes"], F.lit(0))).alias("minutes"), kept(f["article"]["content"]).alias("article"),
-        kept(F.coalesce(f["article"]["link_density"], F.lit(0.0))).alias("link_density"),
+        kept(words).alias("words"), kept(F.coalesce(F.col("_article")["minutes"], F.lit(0))).alias("minutes"), kept(F.col("_article")["content"]).alias("article"),
+        kept(F.coalesce(F.col("_article")["link_density"], F.lit(0.0))).alias("link_density"),
     )
 
 

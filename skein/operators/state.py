@@ -119,8 +119,9 @@ def lru_cache(events: DataFrame, key: str, ttl_seconds: int, capacity: int, shar
 
 def coalesced(events: DataFrame, key: list[str]) -> DataFrame:
     """ST4: leader_id (the first request of the key) and already_exists for every request."""
-    first = events.groupBy(*key).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("leader_id"))
-    return events.join(first, key).withColumn("already_exists", F.col("event_id") != F.col("leader_id"))
+    first = events.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("leader_id"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]  # requests without a key are one key too
+    return events.join(first, same).drop(*[f"_{k}" for k in key]).withColumn("already_exists", F.col("event_id") != F.col("leader_id"))
 
 
 def circuit_breaker(calls: DataFrame, key: list[str], failed: Column) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import links, pages, state, texts
+from skein.plans import links, pages, social, state, texts
 
-MODULES = (links, texts, pages, state)
+MODULES = (links, texts, pages, state, social)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
