@@ -176,3 +176,25 @@ def test_more_platform_records(spark):
     assert (a.f.pdf_url, a.f.pages_url) == ("d.pdf", "m")
     assert (a.p.title, a.p.author_name, a.p.author_username, a.p.video_url, a.p.image) == ("Cake", "Ann", "ann", "c.mp4", "i.jpg")
     assert b.s is None and b.m is None and b.p.title == "Pinterest Pin"
+
+
+def test_requests_without_a_key_coalesce(spark):
+    from skein.operators import state
+
+    rows = [(1, None, "2024-01-01 00:00:00"), (2, None, "2024-01-01 00:00:01"), (3, "u", "2024-01-01 00:00:02")]
+    d = spark.createDataFrame(rows, "event_id long, user string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = state.coalesced(d, ["user"])
+    assert sorted((r["event_id"], r["leader_id"], r["already_exists"]) for r in got.collect()) == [(1, 1, False), (2, 1, True), (3, 3, False)] and got.columns == ["event_id", "user", "ts", "leader_id", "already_exists"]
+
+
+def test_scratch_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from skein.session import shared_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("local[2]")).startswith("file:")
