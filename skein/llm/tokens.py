@@ -15,6 +15,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Whether some single space is at an end of the text or beside other white space.
 _RUN = re.compile(r" (?:\s|\Z|(?<=\s )|(?<=\A ))")
 
+#: Characters of texts whose new chunks are learned together; a longer text is a group of its own.
+GROUP_CHARS = 500_000
+
 
 def chunks(text: str) -> list[str]:
     """Pieces of the text without the single spaces that part them; every piece but the first is encoded with its leading space."""
@@ -65,17 +68,26 @@ class ChunkEncoder:
         if len(self.first) > self.most // 10:
             self.first.clear()
         out: list[bytes] = []
+        group: list[list[str]] = []
+        held = 0
         for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            head, *rest = chunks(text)
-            if head not in self.first:
-                self._learn(self.first, [head], "")
-            if missing := set(rest).difference(self.later):
-                self._learn(self.later, list(missing), " ")
-            out.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
-        return out
+            group.append(chunks(text) if text else [])
+            held += len(text or "")
+            if held >= GROUP_CHARS:
+                out += self._joined(group)
+                group, held = [], 0
+        return out + self._joined(group)
+
+    def _joined(self, group: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as chunks. What none of them has seen is learned in one call, as a call costs as much as dozens of chunks."""
+        heads, rests = {g[0] for g in group if g}, set()
+        for g in group:
+            rests.update(g[1:])
+        for cache, seen, lead in ((self.first, heads, ""), (self.later, rests, " ")):
+            if missing := seen.difference(cache):
+                self._learn(cache, list(missing), lead)
+        later = self.later.__getitem__
+        return [self.first[g[0]] + b"".join(map(later, g[1:])) if g else b"" for g in group]
 
 
 @lru_cache(maxsize=4)
