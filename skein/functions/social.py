@@ -1,12 +1,12 @@
-"""Texts, dates and labels of single platforms that need no page: TF11, TF20, TF21, DF2, DF5, P16, P17, P22, P25, CF15."""
+"""Texts, dates and labels of single platforms that need no page: TF11, TF12, TF20, TF21, DF2, DF5, P16, P17, P22, P25, CF15."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.strings import let, wide_trim, word_count
-from skein.functions.text import unescape_html
+from skein.functions.strings import group, let, wide_trim, word_count
+from skein.functions.text import normalize_paragraphs, strip_engagement_header, strip_outer_quotes, unescape_html
 
 #: Escapes of scripts and what they stand for.
 SCRIPT_ESCAPES = {"\\u0026": "&", "\\u0027": "'", "\\u0022": '"', "\\u003c": "<", "\\u003C": "<", "\\u003e": ">", "\\u003E": ">", "\\u000a": "\n", "\\u000A": "\n"}
@@ -15,6 +15,10 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 SUBREDDIT_LOGO = "https://www.redditstatic.com/shreddit/assets/favicon/192x192.png"
 REDDIT_MEDIA = r"(?i)(?:^|https?://|//)(?:i\.redd\.it/|(?:cf\.)?preview\.redd\.it/(?:[^/]+-)?(?:v[0-9]+-)?)([a-zA-Z0-9]{8,})(?:\.([a-zA-Z0-9]+))?"
 
+#: What stands before a caption in quotes, tried in this order, and what a preview puts after it.
+CAPTION_LEADS = [r"(?i)\s+on\s+[A-Za-z]+\s+[0-9]{1,2},?\s*[0-9]{4}:\s*", r"(?i)on Instagram:\s*", r":\s*"]
+CAPTION_TAILS = [r"(?is)\s*View all [0-9.,]+[KMB]? comments.*\z", r"(?is)\s*View more on Instagram.*\z"]
+
 
 def instagram_text(c: Column) -> Column:
     """TF11: breaks and block ends become lines, script escapes characters; other tags and backslashes go; null is empty."""
@@ -30,6 +34,28 @@ def instagram_text(c: Column) -> Column:
     return let(F.coalesce(c, F.lit("")), run)
 
 
+def instagram_description(c: Column, user: Column) -> Column:
+    """TF12: the caption of a description without counts, quotes, links to more and the user's name in front; null is empty.
+    A quote that ends the text is taken off first, so a caption is found by its quotes only where more dots or spaces follow them."""
+
+    def caption(v: Column) -> Column:
+        short = r'["“]([\s\S]*?)["”][.\s]*\z'
+        found = [group(v, lead + (short if lead != CAPTION_LEADS[-1] else r'["“]([\s\S]{3,})["”][.\s]*\z')) for lead in CAPTION_LEADS]
+        out = wide_trim(F.coalesce(*found, v))
+        for tail in CAPTION_TAILS:
+            out = F.regexp_replace(out, tail, "")
+        return wide_trim(out)
+
+    def unnamed(v: Column) -> Column:
+        bare = F.regexp_replace(v, "^@", "")
+        named = (F.coalesce(user, F.lit("")) != "") & (user != "unknown") & F.startswith(F.lower(bare), F.lower(user))
+        rest = F.ltrim(F.substring(bare, F.length(user) + 1, F.length(bare)), F.lit(":- \t\n\r"))
+        return F.when(named, wide_trim(rest)).otherwise(v)
+
+    start = strip_engagement_header(strip_outer_quotes(F.coalesce(c, F.lit(""))))
+    return normalize_paragraphs(instagram_text(let(let(start, caption), unnamed)))
+
+
 def reddit_media_id(c: Column) -> Column:
     """TF20: the id of an image link; null if it is none."""
     return F.nullif(F.regexp_extract(c, REDDIT_MEDIA, 1), F.lit(""))

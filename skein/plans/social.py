@@ -16,6 +16,11 @@ INSTAGRAM = [
     (-1, "Hi<br/>there</p>", "Hi\nthere"), (-2, "a \\u0026 b \\u003cb\\u003ebold\\u003c/b\\u003e", "a & b bold"), (-3, "one\\r\\ntwo\\nthree", "one\ntwo\nthree"), (-4, "it\\'s &quot;ok&quot; &#064;you", 'it\'s "ok" @you'),
     (-5, None, ""), (-6, "  plain  ", "plain"),
 ]
+#: id, description, user, the caption shown.
+DESCRIPTIONS = [
+    (-1, 'Jane Doe on Instagram: "A day out"', "jane", 'Doe on Instagram: "A day out'), (-9, 'Jane Doe on Instagram: "A day out"..', "jane", "A day out"), (-2, 'Jane on August 1, 2026: "Sea and sun". ', "jane", "Sea and sun"), (-3, "@Jane: hello View all 1,2K comments and on", "jane", "hello"),
+    (-4, "janeTomorrow 9 PM View more on Instagram", "jane", "Tomorrow 9 PM"), (-5, "unknown origin", "unknown", "unknown origin"), (-6, "plain \\u0026 text", None, "plain & text"), (-7, None, "jane", ""), (-8, "a.b", "axb", "a.b"),
+]
 #: id, link, its own link, the image's id.
 IMAGES = [
     (-1, "https://preview.redd.it/my-title-v0-abcdefgh1234.jpeg?width=640&amp;auto=webp", "https://i.redd.it/abcdefgh1234.jpeg", "abcdefgh1234"), (-2, "https://i.redd.it/zyxw98765432.png", "https://i.redd.it/zyxw98765432.png", "zyxw98765432"),
@@ -53,6 +58,11 @@ def instagram_text(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", social.instagram_text(F.col("raw")).alias("cleaned"))
 
 
+def instagram_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.createDataFrame(_cut(DESCRIPTIONS, 0, 1, 2), "id long, raw string, user string").coalesce(1)
+    return d.select("id", social.instagram_description(F.col("raw"), F.col("user")).alias("shown"))
+
+
 def reddit_images(spark: SparkSession, sf: str) -> DataFrame:
     d, c = spark.createDataFrame(_cut(IMAGES, 0, 1), "id long, raw string").coalesce(1), F.col("raw")
     return d.select("id", social.reddit_image(c).alias("image"), social.reddit_media_id(c).alias("media_id"))
@@ -129,13 +139,14 @@ def article_of_bookmark(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (instagram_text, reddit_images, subreddit_icons, social_dates, instagram_titles, card_rules, untrusted_tags, newest_shortlinks, bookmark_insert, article_insert, bookmark_of_user, article_of_bookmark)
+    for f in (instagram_text, instagram_descriptions, reddit_images, subreddit_icons, social_dates, instagram_titles, card_rules, untrusted_tags, newest_shortlinks, bookmark_insert, article_insert, bookmark_of_user, article_of_bookmark)
 }
 
 _ARTICLES = """SELECT o_orderkey AS bookmark_id, o_custkey AS user_id, '<p>old' AS content_html, 'old' AS content_markdown FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0
  UNION ALL SELECT o_orderkey, o_custkey, '<p>' || o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN 'md' END FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0"""
 SQL = {
     "instagram_text": f"SELECT * FROM {values(_cut(INSTAGRAM, 0, 2), 'id, cleaned')}",
+    "instagram_descriptions": f"SELECT * FROM {values(_cut(DESCRIPTIONS, 0, 3), 'id, shown')}",
     "reddit_images": f"SELECT * FROM {values(_cut(IMAGES, 0, 2, 3), 'id, image, media_id')}",
     "subreddit_icons": f"SELECT * FROM {values(_cut(ICONS, 0, 2), 'id, icon')}",
     "social_dates": f"SELECT id, 'posted' AS kind, shown FROM {values(_cut(DAYS, 0, 2), 'id, shown')} UNION ALL SELECT id, 'joined', shown FROM {values(_cut(JOINS, 0, 2), 'id, shown')}",
