@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import decontam, fingerprints, licenses, neardup, packing, pii, sharding, token_counts, toxicity, warc
+from skein.llm import decontam, filter_audit, fingerprints, licenses, neardup, packing, pii, sharding, suffixes, token_counts, toxicity, warc
 from skein.llm.common import table
 
 
@@ -64,10 +65,20 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contamination(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"), near=True)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    d = suffixes.repeated_spans(spark, table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_shards, op2_fingerprints, op3_token_counts, op4_toxicity, op5_warc, op6_licenses, op7_pii, op8_near_duplicates, op9_packing, op10_decontamination]
+    own = [op1_shards, op2_fingerprints, op3_token_counts, op4_toxicity, op5_warc, op6_licenses, op7_pii, op8_near_duplicates, op9_packing, op10_decontamination, op12_suffix_dedup, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_filter_audit": filter_audit.AUDIT_SQL}
