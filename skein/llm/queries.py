@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontam, filter_audit, fingerprints, licenses, neardup, packing, pii, sharding, suffixes, token_counts, toxicity, warc
+from skein.llm import decontam, filter_audit, fingerprints, licenses, neardup, negatives, packing, pii, sharding, suffixes, token_counts, toxicity, warc
 from skein.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contamination(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"), near=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(spark, table(spark, sf, "embeddings"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     d = suffixes.repeated_spans(spark, table(spark, sf, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
@@ -76,9 +80,9 @@ def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_shards, op2_fingerprints, op3_token_counts, op4_toxicity, op5_warc, op6_licenses, op7_pii, op8_near_duplicates, op9_packing, op10_decontamination, op12_suffix_dedup, op13_filter_audit]
+    own = [op1_shards, op2_fingerprints, op3_token_counts, op4_toxicity, op5_warc, op6_licenses, op7_pii, op8_near_duplicates, op9_packing, op10_decontamination, op11_hard_negatives, op12_suffix_dedup, op13_filter_audit]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": filter_audit.AUDIT_SQL}
+    return {"op11_hard_negatives": negatives.NEGATIVES_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
