@@ -14,6 +14,8 @@ texts; a row without doc_id comes first; an empty table gives no rows; columns o
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ PICK = 0xF | 0xF << 20 | 0xF << 40
 WIDE, HIGH = 8, 32
 WIDE_PICK, WIDE_MASK = 0xF | 0xF << HIGH, (1 << 63) - 1
 MEAN, VARIANCE = 7.5, 21.25
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Numbers of ranges are this far apart, to leave room for parts.
+PARTS = 1 << 24
 
 
 def paragraphs(text: Column) -> Column:
@@ -109,34 +114,67 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / both)))
 
 
+def _cuts(d: DataFrame, n: int, range_rows: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+    """Cuts of the order (k, h) into ranges of about range_rows rows, and of the equal rows that fill a range the number of parts.
+
+    Cuts are quantiles of k. One that is met several times has many rows and is cut on at equal parts of h, a hash; (k, h) of equal
+    rows that alone fill a range get one of their own. The rows of a range grow as the root of n beyond some 10**8, and so does what the driver sees."""
+    m = max(96, min(n // range_rows, int(3 * n**0.5)))
+    share = max(range_rows, n // m)
+    seen = Counter(int(c) for c in d.approxQuantile("k", [i / m for i in range(1, m)], 0.2 / m)) if n else {}
+    out = set()
+    for k, times in seen.items():
+        out |= {(k, LEAST + (part << 64) // (times + 1)) for part in range(times + 1 if times > 1 else 1)}
+        if times > 1 and k < MOST:
+            out.add((k + 1, LEAST))
+    hot = {(r["k"], r["h"]): -(-r["n"] // share) for r in d.groupBy("k", "h").agg(F.count("*").alias("n")).where(F.col("n") > 2 * share).collect()}  # under m of them
+    for k, h in hot:
+        out |= {(k, h), (k, h + 1) if h < MOST else (min(k + 1, MOST), LEAST)}
+    return sorted(out), hot
+
+
+def _place(cuts: list[tuple[int, int]]) -> Column:
+    """How many cuts are not after (k, h), in two levels: about twice the root of their number is compared."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    step = max(1, int(len(cuts) ** 0.5))
+    longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  folded to one constant
+    pairs = lambda xs: F.arrays_zip(longs([k for k, _ in xs]).alias("k"), longs([h for _, h in xs]).alias("h"))
+    reached = lambda xs: F.size(F.filter(xs, lambda c: (c["k"] < F.col("k")) | ((c["k"] == F.col("k")) & (c["h"] <= F.col("h")))))
+    g = reached(pairs(cuts[::step]))
+    return F.when(g == 0, 0).otherwise((g - 1) * step + reached(F.slice(pairs(cuts), (g - 1) * step + 1, F.lit(step)))).cast("long")
+
+
 def with_next(docs: DataFrame, range_rows: int = 4_000) -> DataFrame:
     """doc_id, text ('' for null), fp, next_text and next_fp: those of the next row by doc_id; after the last, of the first.
 
-    Rows are dealt into ranges of doc_id at sampled quantiles. Every range also gets the first row of the range after it, so
-    one window within ranges sees every next row."""
+    Rows are dealt into ranges of (doc_id, hash of the text). Every range also gets the first row of the range after it, so
+    one window within ranges sees every next row. Equal rows that fill more than a range are dealt into parts in any order: the row after is
+    an equal one for all but one of them."""
+    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
-    n = d.count()
-    m = min(65_536, max(96, n // range_rows))
-    cuts = sorted({int(c) for c in d.approxQuantile("k", [i / m for i in range(1, m)], 0.2 / m)}) if n else []
-    step = max(1, int(len(cuts) ** 0.5))
-    fine = [cuts[i : i + step] for i in range(0, len(cuts), step)] or [[0]]
-    # two levels, so that a row is compared with about twice the root of the number of ranges
-    up_to = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("k")))
-    d = d.withColumn("g", F.greatest(F.lit(1), up_to(F.array(*[F.lit(f[0]) for f in fine]))))
-    d = d.withColumn("rng", F.col("g") * (step + 1) + up_to(F.element_at(F.array(*[F.array(*map(F.lit, f)) for f in fine]), F.col("g"))))
-    # many rows of one doc_id, or without one, make one range: it is cut further at equal parts of the hash, which orders them
-    sizes = d.groupBy("rng").agg(F.count("*").alias("n")).where(F.col("n") > 4 * max(range_rows, n // m)).collect()  # at most a row a range
-    d = d.withColumn("rng", F.shiftleft(F.col("rng").cast("long"), 20))
-    if sizes:
-        parts = docs.sparkSession.createDataFrame([(r["rng"] << 20, min(1 << 19, -(-r["n"] // range_rows))) for r in sizes], "of long, parts long")
-        cut = F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("parts")).cast("long")
-        d = d.join(F.broadcast(parts), F.col("rng") == F.col("of"), "left").withColumn("rng", F.col("rng") + F.coalesce(cut, F.lit(0))).drop("of", "parts")
-    heads = sorted((r["rng"], r["f"]["k"], r["f"]["h"]) for r in d.groupBy("rng").agg(F.min(F.struct("k", "h")).alias("f")).collect())  # a row a range
-    after = [(heads[i - 1][0], k, h) for i, (_, k, h) in enumerate(heads)]
-    after = F.broadcast(docs.sparkSession.createDataFrame(after, "to long, k long, h long"))
-    extra = d.join(after, ["k", "h"]).select("doc_id", "text", "k", "h", F.col("to").alias("rng"), F.lit(1).alias("last"))
-    d = with_fingerprint(d.select("doc_id", "text", "k", "h", "rng", F.lit(0).alias("last")).unionByName(extra), "text", "fp")
+    d = d.withColumn("k", F.coalesce("doc_id", F.lit(LEAST))).withColumn("h", F.xxhash64("text"))
+    cuts, hot = _cuts(d, d.count(), range_rows)
+    d = d.withColumn("rng", _place(cuts))
+    # a row a range
+    heads = sorted((r["rng"], r["f"]["k"], r["f"]["h"]) for r in d.groupBy("rng").agg(F.min(F.struct("k", "h")).alias("f")).collect())
+    after = []
+    for i, (rng, k, h) in enumerate(heads):
+        parts = hot.get((k, h), 1)
+        after += [(rng * PARTS + p, k, h) for p in range(parts - 1)]
+        after.append((rng * PARTS + parts - 1, *heads[(i + 1) % len(heads)][1:]))
+    split = [(rng, hot[k, h]) for rng, k, h in heads if (k, h) in hot]
+    d = d.withColumn("rng", F.col("rng") * PARTS)
+    if split:
+        split = F.broadcast(spark.createDataFrame([(rng * PARTS, parts) for rng, parts in split], "of long, parts long"))
+        part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0))
+        dealt = d.join(split, F.col("rng") == F.col("of"), "left").withColumn("rng", F.col("rng") + part).drop("of", "parts")
+    else:
+        dealt = d
+    after = spark.createDataFrame(after, "to long, k long, h long")
+    first = d.join(F.broadcast(after.select("k", "h").distinct()), ["k", "h"]).groupBy("k", "h").agg(F.first("text").alias("text"))
+    extra = first.join(F.broadcast(after), ["k", "h"]).select(F.lit(None).cast("long").alias("doc_id"), "text", "k", "h", F.col("to").alias("rng"), F.lit(1).alias("last"))
+    d = with_fingerprint(dealt.select("doc_id", "text", "k", "h", "rng", F.lit(0).alias("last")).unionByName(extra), "text", "fp")
     w = Window.partitionBy("rng").orderBy("last", "k", "h")
     return d.withColumn("next", F.lead(F.struct("text", "fp")).over(w)).where("last = 0").select("doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
 

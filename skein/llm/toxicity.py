@@ -108,7 +108,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     # drawn by a hash of doc_id, so the same rows whatever their order; `sample` at most, so they can be sent to every task
     drawn = known.orderBy(F.xxhash64("id"), "id", *cats).limit(sample)
     fold = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(folds)).cast("int").alias("fold")
-    rows = doc_bytes(docs).join(F.broadcast(drawn.select("*", fold)), F.col("doc_id") == F.col("id")).drop("id")
+    # a label stands for one row of its doc_id, that of the least hash, so `sample` also bounds what is fitted where doc_ids repeat
+    texts = doc_bytes(docs).join(F.broadcast(drawn.select("id").distinct()), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = texts.join(F.broadcast(drawn.select("*", fold)), F.col("doc_id") == F.col("id")).drop("id")
     rows = materialize(rows, "labelled")
     names = list(cats)
 

@@ -131,6 +131,36 @@ def test_fingerprints_of_one_doc_id(spark):
     assert got.where("doc_id = 7").first()["next_text"] != "last"
 
 
+@pytest.mark.parametrize("hot_id", [7, None])
+@pytest.mark.parametrize("same", [True, False])
+def test_fingerprints_of_a_hot_doc_id_among_others(spark, hot_id, same):
+    """Many rows of one doc_id, of one text or of many, beside doc_ids that occur once: every other doc_id meets its next one."""
+    n = 4000
+    hot = spark.range(n).select(F.lit(hot_id).cast("long").alias("doc_id"), F.lit("hot").alias("text") if same else F.concat(F.lit("hot "), F.col("id")).alias("text"))
+    others = [(i, f"other {i}") for i in range(8, 900)]
+    got = fingerprints.with_next(hot.unionByName(spark.createDataFrame(others, "doc_id long, text string")), range_rows=20).collect()
+    assert len(got) == n + len(others)
+    after = {r["doc_id"]: r["next_text"] for r in got if r["doc_id"] != hot_id}
+    assert all(after[i] == f"other {i + 1}" for i in range(8, 899)) and after[899].startswith("hot")
+    of_hot = collections.Counter(r["next_text"] for r in got if r["doc_id"] == hot_id)
+    assert of_hot["other 8"] == 1
+    assert of_hot == ({"hot": n - 1, "other 8": 1} if same else {**{f"hot {k}": 1 for k in range(n) if f"hot {k}" != after[899]}, "other 8": 1})
+
+
+def test_labels_bound_what_is_fitted(spark):
+    """Ten labels of doc_ids with thousands of rows each: ten rows are fitted."""
+    d = spark.range(30_000).select((F.col("id") % 10).alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 3).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    seen = []
+    kept = toxicity.map_batches
+    toxicity.map_batches = lambda df, *a, **k: (seen.append(df.count()), kept(df, *a, **k))[1]
+    try:
+        toxicity.fit(spark, d, labels, sample=10)
+    finally:
+        toxicity.map_batches = kept
+    assert seen and max(seen) == 10
+
+
 def test_fingerprint_is_homomorphic(spark):
     d = spark.createDataFrame([("one\ntwo\nthree", "three\none", "two")], "a string, b string, c string")
     f = lambda c: fingerprints.fingerprint(F.col(c))
