@@ -86,8 +86,11 @@ def password_rule(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mime_sniff(spark: SparkSession, sf: str) -> DataFrame:
-    d = X.frame(spark, X.MAGIC, "hex")
-    return d.select("id", net.image_type(F.unhex("hex")).alias("mime"))
+    """The bytes of whole documents, every other one behind the mark of a JPEG, and the literal signatures."""
+    text = F.coalesce(F.col("text").cast("binary"), F.unhex(F.lit("")))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("FFD8FF")), text)).otherwise(text).alias("content"))
+    d = docs.unionByName(X.frame(spark, X.MAGIC, "hex").select("id", F.unhex("hex").alias("content")))
+    return d.select("id", net.image_type(F.col("content")).alias("mime"))
 
 
 _HOST_SQL = f"lower({got(extract('url', r'(?i)^\s*https?://([^/?#\\]+)'), url._HOST, 2)})"
@@ -182,7 +185,7 @@ SELECT user_id, coalesce(max(n) FILTER (event_type <> 'click'), 0) = 0 AS empty,
     "password_rule": f"""SELECT id, length(word) >= 8 AND regexp_matches(word, '[a-z]') AND regexp_matches(word, '[A-Z]') AND regexp_matches(word, '[0-9]') AS password_ok, regexp_matches(word, '^[0-9]{{6}}$') AS otp_ok
 FROM (SELECT c_custkey AS id, c_name AS word FROM customer UNION ALL SELECT * FROM {values(X.numbered(X.PASSWORDS), 'id, word')})""",
     "mime_sniff": f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN length(h) < 8 THEN NULL WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png' WHEN regexp_matches(h, '^47494638(?:37|39)61') THEN 'image/gif'
- WHEN regexp_matches(h, '^52494646.{{8}}57454250') THEN 'image/webp' WHEN substr(h, 9, 8) = '66747970' AND substr(h, 17, 8) IN ('61766966', '61766973', '6D696631') THEN 'image/avif' END AS mime FROM {values(X.numbered(X.MAGIC), 'id, h')}""",
+ WHEN regexp_matches(h, '^52494646.{{8}}57454250') THEN 'image/webp' WHEN substr(h, 9, 8) = '66747970' AND substr(h, 17, 8) IN ('61766966', '61766973', '6D696631') THEN 'image/avif' END AS mime FROM (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'FFD8FF' ELSE '' END || hex(coalesce(text, '')) AS h FROM documents UNION ALL SELECT id, h FROM {values(X.numbered(X.MAGIC), 'id, h')})""",
 }
 
 QUERIES = {f.__name__: f for f in (url_canonicalize, url_dedup_canonical, url_content_groups, site_name, link_ids, metric_parse, metrics_sanitize, private_ip, url_safety, email_validate, password_rule, mime_sniff)}

@@ -53,38 +53,51 @@ def _cut(rows: list[tuple], *at: int) -> list[tuple]:
     return [tuple(r[i] for i in at) for r in rows]
 
 
+def _with(spark: SparkSession, sf: str, rows: list[tuple], schema: str, *columns) -> DataFrame:
+    """The literal rows below rows made of whole `documents`, so that a query grows with its table."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), *[c.alias(n) for c, n in zip(columns, names[1:], strict=True)])
+    return d.unionByName(spark.createDataFrame(rows, schema).coalesce(1))
+
+
 def instagram_text(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame(_cut(INSTAGRAM, 0, 1), "id long, raw string").coalesce(1)
+    d = _with(spark, sf, _cut(INSTAGRAM, 0, 1), "id long, raw string", F.format_string("Doc %d<br/>a \\u0026 <b>b</b></p>", "doc_id"))
     return d.select("id", social.instagram_text(F.col("raw")).alias("cleaned"))
 
 
 def instagram_descriptions(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame(_cut(DESCRIPTIONS, 0, 1, 2), "id long, raw string, user string").coalesce(1)
+    d = _with(spark, sf, _cut(DESCRIPTIONS, 0, 1, 2), "id long, raw string, user string", F.format_string('Jane on August 1, 2026: "Caption %d". ', "doc_id"), F.lit("jane"))
     return d.select("id", social.instagram_description(F.col("raw"), F.col("user")).alias("shown"))
 
 
 def reddit_images(spark: SparkSession, sf: str) -> DataFrame:
-    d, c = spark.createDataFrame(_cut(IMAGES, 0, 1), "id long, raw string").coalesce(1), F.col("raw")
+    d, c = _with(spark, sf, _cut(IMAGES, 0, 1), "id long, raw string", F.format_string("https://preview.redd.it/title-v0-abcdefgh%d.png?width=9", "doc_id")), F.col("raw")
     return d.select("id", social.reddit_image(c).alias("image"), social.reddit_media_id(c).alias("media_id"))
 
 
 def subreddit_icons(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_cut(ICONS, 0, 1), "id long, raw string").coalesce(1).select("id", social.subreddit_icon(F.col("raw")).alias("icon"))
+    link = F.format_string("https://a.example/%s/%d.png", F.when(F.col("doc_id") % 2 == 0, "icon").otherwise("default"), "doc_id")
+    return _with(spark, sf, _cut(ICONS, 0, 1), "id long, raw string", link).select("id", social.subreddit_icon(F.col("raw")).alias("icon"))
 
 
 def social_dates(spark: SparkSession, sf: str) -> DataFrame:
-    a = spark.createDataFrame(_cut(DAYS, 0, 1), "id long, raw string").coalesce(1).select("id", F.lit("posted").alias("kind"), social.posted_on(F.col("raw")).cast("string").alias("shown"))
-    b = spark.createDataFrame(_cut(JOINS, 0, 1), "id long, raw string").coalesce(1).select("id", F.lit("joined").alias("kind"), social.joined(F.col("raw")).alias("shown"))
+    """The days of whole `orders` in a sentence and as a date, and the literal rows."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"))
+    days, joins = spark.createDataFrame(_cut(DAYS, 0, 1), "id long, raw string").coalesce(1), spark.createDataFrame(_cut(JOINS, 0, 1), "id long, raw string").coalesce(1)
+    a = o.select("id", F.concat(F.lit("9 likes - jane on "), F.date_format("day", "MMMM d, yyyy")).alias("raw")).unionByName(days).select("id", F.lit("posted").alias("kind"), social.posted_on(F.col("raw")).cast("string").alias("shown"))
+    b = o.select("id", F.col("day").cast("string").alias("raw")).unionByName(joins).select("id", F.lit("joined").alias("kind"), social.joined(F.col("raw")).alias("shown"))
     return a.unionByName(b)
 
 
 def instagram_titles(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame(_cut(TITLES, 0, 1, 2, 3, 4, 5), "id long, title string, restricted boolean, is_profile boolean, name string, user string").coalesce(1)
+    schema = "id long, title string, restricted boolean, is_profile boolean, name string, user string"
+    d = _with(spark, sf, _cut(TITLES, 0, 1, 2, 3, 4, 5), schema, F.format_string("Day %d", "doc_id"), F.col("doc_id") % 7 == 0, F.lit(False), F.lit(None).cast("string"), F.lit("jane"))
     return d.select("id", social.instagram_title(*map(F.col, ("title", "restricted", "is_profile", "name", "user"))).alias("shown"))
 
 
 def card_rules(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame(_cut(CARDS, 0, 1, 2, 3, 4, 5), "id long, type string, card string, fallback string, is_link boolean, description string").coalesce(1)
+    schema = "id long, type string, card string, fallback string, is_link boolean, description string"
+    d = _with(spark, sf, _cut(CARDS, 0, 1, 2, 3, 4, 5), schema, F.lit(None).cast("string"), F.format_string('{"type": "k%d", "article_content": "w%d x"}', "doc_id", "doc_id"), F.lit("generic"), F.lit(False), F.lit("d"))
     link, card = F.col("is_link"), F.col("card")
     d = d.withColumn("a", social.article_of_card(card, F.col("description")))
     return d.select(
@@ -145,13 +158,13 @@ QUERIES = {
 _ARTICLES = """SELECT o_orderkey AS bookmark_id, o_custkey AS user_id, '<p>old' AS content_html, 'old' AS content_markdown FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0
  UNION ALL SELECT o_orderkey, o_custkey, '<p>' || o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN 'md' END FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0"""
 SQL = {
-    "instagram_text": f"SELECT * FROM {values(_cut(INSTAGRAM, 0, 2), 'id, cleaned')}",
-    "instagram_descriptions": f"SELECT * FROM {values(_cut(DESCRIPTIONS, 0, 3), 'id, shown')}",
-    "reddit_images": f"SELECT * FROM {values(_cut(IMAGES, 0, 2, 3), 'id, image, media_id')}",
-    "subreddit_icons": f"SELECT * FROM {values(_cut(ICONS, 0, 2), 'id, icon')}",
-    "social_dates": f"SELECT id, 'posted' AS kind, shown FROM {values(_cut(DAYS, 0, 2), 'id, shown')} UNION ALL SELECT id, 'joined', shown FROM {values(_cut(JOINS, 0, 2), 'id, shown')}",
-    "instagram_titles": f"SELECT * FROM {values(_cut(TITLES, 0, 6), 'id, shown')}",
-    "card_rules": f"SELECT id, label, stale_listed, stale_asked, html, CAST(words AS BIGINT) AS words, CAST(minutes AS BIGINT) AS minutes, byline, excerpt FROM {values(_cut(CARDS, 0, 6, 7, 8, 9, 10, 11, 12, 13), 'id, label, stale_listed, stale_asked, html, words, minutes, byline, excerpt')}",
+    "instagram_text": f"SELECT doc_id AS id, 'Doc ' || doc_id || chr(10) || 'a & b' AS cleaned FROM documents UNION ALL SELECT * FROM {values(_cut(INSTAGRAM, 0, 2), 'id, cleaned')}",
+    "instagram_descriptions": f"SELECT doc_id AS id, 'Caption ' || doc_id AS shown FROM documents UNION ALL SELECT * FROM {values(_cut(DESCRIPTIONS, 0, 3), 'id, shown')}",
+    "reddit_images": f"SELECT doc_id AS id, 'https://i.redd.it/abcdefgh' || doc_id || '.png' AS image, 'abcdefgh' || doc_id AS media_id FROM documents UNION ALL SELECT * FROM {values(_cut(IMAGES, 0, 2, 3), 'id, image, media_id')}",
+    "subreddit_icons": f"SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'https://a.example/icon/' || doc_id || '.png' ELSE '{social.SUBREDDIT_LOGO}' END AS icon FROM documents UNION ALL SELECT * FROM {values(_cut(ICONS, 0, 2), 'id, icon')}",
+    "social_dates": f"SELECT o_orderkey AS id, 'posted' AS kind, strftime(o_orderdate, '%Y-%m-%d') AS shown FROM orders UNION ALL SELECT o_orderkey, 'joined', 'Joined ' || strftime(o_orderdate, '%B %Y') FROM orders UNION ALL SELECT id, 'posted' AS kind, shown FROM {values(_cut(DAYS, 0, 2), 'id, shown')} UNION ALL SELECT id, 'joined', shown FROM {values(_cut(JOINS, 0, 2), 'id, shown')}",
+    "instagram_titles": f"SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'Restricted Instagram Content' ELSE 'Day ' || doc_id END AS shown FROM documents UNION ALL SELECT * FROM {values(_cut(TITLES, 0, 6), 'id, shown')}",
+    "card_rules": f"SELECT doc_id AS id, 'k' || doc_id AS label, false AS stale_listed, false AS stale_asked, '<p>w' || doc_id || ' x</p>' AS html, 2::BIGINT AS words, 1::BIGINT AS minutes, NULL::VARCHAR AS byline, 'd' AS excerpt FROM documents UNION ALL SELECT id, label, stale_listed, stale_asked, html, CAST(words AS BIGINT) AS words, CAST(minutes AS BIGINT) AS minutes, byline, excerpt FROM {values(_cut(CARDS, 0, 6, 7, 8, 9, 10, 11, 12, 13), 'id, label, stale_listed, stale_asked, html, words, minutes, byline, excerpt')}",
     "untrusted_tags": "SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '(?i)</?untrusted_content>', '', 'g') || ' end </ untrusted_content>') AS sha256 FROM documents",
     "newest_shortlinks": "SELECT o_custkey AS user_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders WHERE o_orderkey % 2 = 0 QUALIFY rank <= 10",
     "bookmark_insert": """SELECT o_orderkey AS id, o_custkey AS user_id, NULL::VARCHAR AS logo_url, CASE WHEN o_orderkey % 5 = 0 THEN '{"snapshot": "s.png"}' END AS card_data,
