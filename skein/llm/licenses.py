@@ -1,21 +1,20 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of words across line ends, a quarter longer than a template, at every word where it may begin; it
-is compared with templates of that length only, lines with all. Blocks and templates are token sets in one global order, rarest first by the number of blocks of the whole
-corpus that hold a token. A block meets a template if it holds at least `threshold` of its tokens. Only blocks that hold a
+A block is a window of words, a quarter longer than a template, at every word where it may begin, whatever line ends it crosses; it
+is compared with templates of that length only. So the words of a template must stand near each other, in a long line as in wrapped ones. Blocks and templates are token sets in
+one global order, rarest first by the number of lines of the whole corpus that hold a token. A block meets a template if it holds at least `threshold` of its tokens. Only blocks that hold a
 token of a template's prefix are joined (prefix filter); a block with too few tokens is dropped (length filter), as is a pair
 whose tokens from the first common one on are too few (positional filter). What is left is compared exactly.
 
 The templates are a fixed list, so their side and the token order are small whatever the corpus.
 
-Defined cases: null and empty texts have no words, no labels and score 0; lines without words are no blocks; repeated rows
+Defined cases: null and empty texts have no words, no labels and score 0; a window at the end of a text may be shorter; repeated rows
 give repeated results; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -54,10 +53,9 @@ def window_of(template: str) -> int:
     return math.ceil(1.25 * len(words(template.encode())))
 
 
-def windows(all_words: list[bytes], ends: list[int], classes: list[tuple[int, int, frozenset[bytes], frozenset[bytes]]]) -> list[tuple[int, frozenset[bytes]]]:
-    """(length, template tokens) of the windows that cross a line end and hold a prefix token and tokens enough. ends: where lines
-    end. classes: length, least tokens, vocabulary and prefixes of its templates. A window that begins elsewhere than at a template
-    token holds no more of them than one that begins at the next."""
+def windows(all_words: list[bytes], classes: list[tuple[int, int, frozenset[bytes], frozenset[bytes]]]) -> list[tuple[int, frozenset[bytes]]]:
+    """(length, template tokens) of the windows that hold a prefix token and tokens enough. classes: length, least tokens, vocabulary and
+    prefixes of its templates. A window that begins elsewhere than at a template token holds no more of them than one that begins at the next."""
     out = set()
     for span, need, vocabulary, prefixes in classes:
         if prefixes.isdisjoint(all_words):
@@ -65,9 +63,8 @@ def windows(all_words: list[bytes], ends: list[int], classes: list[tuple[int, in
         done = 0
         for p in (i for i, x in enumerate(all_words) if x in prefixes):
             for i in range(max(done, p - span + 1), p + 1):
-                last = min(i + span, len(all_words)) - 1
-                if all_words[i] in vocabulary and bisect_right(ends, i) != bisect_right(ends, last):
-                    s = vocabulary.intersection(all_words[i : last + 1])
+                if all_words[i] in vocabulary:
+                    s = vocabulary.intersection(all_words[i : i + span])
                     if len(s) >= need:
                         out.add((span, s))
             done = p + 1
@@ -75,7 +72,7 @@ def windows(all_words: list[bytes], ends: list[int], classes: list[tuple[int, in
 
 
 def block_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> DataFrame:
-    """(token, n): in how many blocks of the corpus a template token stands."""
+    """(token, n): in how many lines of the corpus a template token stands."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter = Counter()
@@ -87,7 +84,7 @@ def block_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> DataFrame:
     return map_batches(doc_bytes(docs), run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def scan(docs: DataFrame, order: dict[bytes, int], prefixes: frozenset[bytes], phrases: dict[str, str], classes: list[tuple[int, int, frozenset[bytes], frozenset[bytes]]]) -> DataFrame:
+def scan(docs: DataFrame, order: dict[bytes, int], phrases: dict[str, str], classes: list[tuple[int, int, frozenset[bytes], frozenset[bytes]]]) -> DataFrame:
     """For each document: words, phrase places, and its blocks that hold a prefix token, as ordered template tokens."""
     wanted = [(tuple(p.encode().split()), label) for p, label in phrases.items()]
     lasts = frozenset(p[-1] for p, _ in wanted)
@@ -95,17 +92,8 @@ def scan(docs: DataFrame, order: dict[bytes, int], prefixes: frozenset[bytes], p
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for t in b.column(1):
-            all_words: list[bytes] = []
-            blocks, ends = [], []
-            for line in (t.as_py() or b"").split(b"\n"):
-                w = words(line)
-                all_words += w
-                ends.append(len(all_words))
-                if not prefixes.isdisjoint(w):
-                    s = set(w)
-                    blocks.append({"span": 0, "size": len(s), "tokens": [x.decode() for x in sorted(order.keys() & s, key=order.__getitem__)]})
-            for span, s in windows(all_words, ends, classes):
-                blocks.append({"span": span, "size": len(s), "tokens": [x.decode() for x in sorted(s, key=order.__getitem__)]})
+            all_words = words(t.as_py())
+            blocks = [{"span": span, "size": len(s), "tokens": [x.decode() for x in sorted(s, key=order.__getitem__)]} for span, s in windows(all_words, classes)]
             places, found = [], set()
             if not lasts.isdisjoint(all_words):
                 for i, x in enumerate(all_words):
@@ -140,13 +128,12 @@ def license_scan(spark: SparkSession, docs: DataFrame, templates: list[tuple[str
         of_span.setdefault(span, []).append((need, s, frozenset(tokens[: len(s) - need + 1])))
         rows += [(k, label, len(s), need, span, [t.decode() for t in tokens], tokens[i].decode(), i) for i in range(len(s) - need + 1)]
     index = spark.createDataFrame(rows, "template int, label string, t_size int, need int, t_span int, t_tokens array<string>, token string, i int")
-    prefixes = frozenset(r[6].encode() for r in rows)
     classes = [(span, min(n for n, _, _ in c), frozenset().union(*(s for _, s, _ in c)), frozenset().union(*(x for _, _, x in c))) for span, c in of_span.items()]
 
-    found = materialize(scan(docs, order, prefixes, PHRASES if phrases is None else phrases, classes).withColumn("row", F.monotonically_increasing_id()), "scan")
+    found = materialize(scan(docs, order, PHRASES if phrases is None else phrases, classes).withColumn("row", F.monotonically_increasing_id()), "scan")
     blocks = found.select("row", F.explode("blocks").alias("b")).select("row", "b.span", "b.size", "b.tokens", F.posexplode("b.tokens").alias("j", "token"))
     rest = 1 + F.least(F.col("t_size") - F.col("i") - 1, F.size("tokens") - F.col("j") - 1)
-    pairs = blocks.join(F.broadcast(index), "token").where(((F.col("span") == 0) | (F.col("span") == F.col("t_span"))) & (F.col("size") >= F.col("need")) & (rest >= F.col("need")))
+    pairs = blocks.join(F.broadcast(index), "token").where((F.col("span") == F.col("t_span")) & (F.col("size") >= F.col("need")) & (rest >= F.col("need")))
     pairs = pairs.withColumn("both", F.size(F.array_intersect("tokens", "t_tokens"))).where("both >= need")
     met = pairs.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.col("both") / F.col("t_size")).alias("score"))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")

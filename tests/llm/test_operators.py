@@ -296,13 +296,13 @@ def python_licenses(text):
         places += at
         base |= {label} if at else set()
     more, score = set(), 0.0
-    for line in (text or "").split("\n"):
-        s = set(words(line))
-        for label, t in licenses.TEMPLATES:
-            k = set(words(t))
-            if len(s & k) >= licenses.needed(len(k), licenses.THRESHOLD):
+    for label, t in licenses.TEMPLATES:
+        k, span = set(words(t)), -(-5 * len(words(t)) // 4)
+        for i in range(len(w)):
+            both = len(k.intersection(w[i : i + span]))
+            if both >= licenses.needed(len(k), licenses.THRESHOLD):
                 more.add(label)
-                score = max(score, len(s & k) / len(k))
+                score = max(score, both / len(k))
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score
 
 
@@ -315,6 +315,16 @@ def test_licenses(spark, some, empty):
     assert licenses.license_scan(spark, empty).count() == 0
 
 
+def test_scattered_words_are_no_license(spark):
+    """The words of templates far from each other, in one long line, give no label; the same line with a grant in it does."""
+    filler = " ".join(f"w{k}" for k in range(300))
+    band = "We were under pressure that year. The band released a mit of songs, the driving license was lost. " + filler
+    apache = " ".join(f"{t} {filler}" for t in words(licenses.TEMPLATES[2][1]))
+    rows = [(1, band), (2, apache), (3, f"{band} {licenses.TEMPLATES[0][1]} {filler}"), (4, f"{apache} {licenses.TEMPLATES[2][1]}.")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("", 0.0), 2: ("", 0.0), 3: ("mit,mit-grant", 1.0), 4: ("apache,apache-2.0", 1.0)}
+
+
 @pytest.mark.parametrize("width", [30, 80])
 @pytest.mark.parametrize("mark", ["", " * ", "// "])
 def test_wrapped_licenses(spark, width, mark):
