@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import payload
+from skein.operators.tiers import escalated, reddit_lacks_key_data
 from skein.plans.sql import values
 from skein.sources.tables import table
 
@@ -145,6 +146,18 @@ def linkedin_posts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", *[F.col(f"p.{c}").alias(c) for c in ("headline", "author", "avatar", "published", "description", "video", "reactions", "comments", "reposts")], F.array_join("p.images", ",").alias("images"), flags.alias("flags"))
 
 
+def tier_escalation(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a post of which every third lacks the author and every fourth the text; every other one has an embedded view with the author, all have a rendered page."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    text = lambda a: F.format_string(f"{a}%d", "id")
+    records = o.select("id", F.when(F.col("id") % 3 != 0, text("a")).alias("author"), F.when(F.col("id") % 4 != 0, text("d")).alias("description"))
+    embeds = o.where("id % 2 = 0").select("id", text("e").alias("author"), F.lit(None).cast("string").alias("description"))
+    pages = o.select("id", text("r").alias("author"), text("t").alias("description"))
+    lacks = reddit_lacks_key_data(F.lit("title"), F.col("author"), F.col("description"), F.lit(False), F.lit(0), F.lit(False))
+    d = escalated(records, "id", ["author", "description"], [("embed", embeds, lacks), ("rendered", pages, lacks)])
+    return d.select("id", "author", "author_from", "description", "description_from", F.array_join("read", ",").alias("read"))
+
+
 _T = "coalesce(text, '')"
 _ESC = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _BLANK = "regexp_matches(coalesce(text, ''), '^\\s*$')"
@@ -162,5 +175,9 @@ UNION ALL SELECT id, rule, url, NULL, NULL, NULL FROM {values([(r[0], r[3], r[4]
 UNION ALL SELECT id, NULL, NULL, likes, comments, shares FROM {values([(r[0], *r[3:]) for r in COUNTS], 'id, likes, comments, shares')}""",
     "linkedin_posts": f"""SELECT page_id AS id, 'Page ' || page_id AS headline, 'A' AS author, NULL::VARCHAR AS avatar, NULL::VARCHAR AS published, NULL::VARCHAR AS description, NULL::VARCHAR AS video, 0::BIGINT AS reactions, page_id + 1 AS comments, 0::BIGINT AS reposts, '' AS images, 'article' AS flags FROM pages
 UNION ALL SELECT id, headline, author, avatar, published, description, video, reactions, comments, reposts, images, flags FROM {values([(r[0], *r[2:]) for r in JSON_LD], 'id, headline, author, avatar, published, description, images, video, reactions, comments, reposts, flags')}""",
+    "tier_escalation": """WITH a AS (SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AS own, o_orderkey % 4 <> 0 AS told, o_orderkey % 2 = 0 AS embed FROM orders)
+SELECT id, CASE WHEN own THEN 'a' WHEN embed THEN 'e' ELSE 'r' END || id AS author, CASE WHEN own THEN 'given' WHEN embed THEN 'embed' ELSE 'rendered' END AS author_from,
+ CASE WHEN told THEN 'd' ELSE 't' END || id AS description, CASE WHEN told THEN 'given' ELSE 'rendered' END AS description_from,
+ CASE WHEN own AND told THEN '' WHEN told AND embed THEN 'embed' ELSE 'embed,rendered' END AS read FROM a""",
 }
-QUERIES = {f.__name__: f for f in (carousels, keys_at_any_depth, draft_articles, content_states, script_rules, linkedin_posts)}
+QUERIES = {f.__name__: f for f in (carousels, keys_at_any_depth, draft_articles, content_states, script_rules, linkedin_posts, tier_escalation)}

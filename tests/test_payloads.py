@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import payload
-from skein.operators import dom
+from skein.operators import dom, tiers
 
 
 def escaped(text, levels):
@@ -145,3 +145,19 @@ def test_rivals_lift_the_container(spark, shared):
     page = f"<body><div id='wrap'>{''.join(part(k) for k in range(4 if shared else 1))}<span>x</span></div></body>"
     got = dom.article(dom.nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))).first()
     assert got["content"].count(text) == (8 if shared else 2)
+
+
+def test_key_data_that_is_lacking(spark):
+    """Title, author, text, comment, media, media expected; upvotes, comments, icon; whether the page is needed, whether the embedded view is."""
+    rows = [
+        ("t", "ann", "text", False, 1, False, 3, None, "i.png", False, False), ("", "ann", "text", False, 1, False, 3, 1, "i.png", True, False), ("t", "x_user1", "text", False, 1, False, 3, 1, "i.png", True, True),
+        ("t", "ann", "cut off...", False, 1, False, 3, 1, "i.png", True, True), ("t", "ann", None, False, 1, False, 3, 1, "i.png", False, True), ("t", "ann", None, False, 0, False, 3, 1, "i.png", True, True),
+        ("t", "ann", "text", False, 0, True, 3, 1, "i.png", True, True), (None, "ann", "text", True, 0, False, 3, 1, "i.png", False, False), ("t", None, "text", True, 0, False, 3, 1, "i.png", True, True),
+        ("t", "ann", "text", False, 1, False, 0, 0, "i.png", False, True), ("t", "ann", "text", False, 1, False, 3, 1, "https://ui-avatars.com/x", False, True), ("t", "ann", "text", False, 1, False, 3, 1, None, False, True),
+    ]
+    d = spark.createDataFrame(rows, "t string, a string, d string, c boolean, m int, e boolean, u int, n int, i string, page boolean, embed boolean")
+    c = F.col
+    got = d.select("page", tiers.reddit_lacks_key_data(c("t"), c("a"), c("d"), c("c"), c("m"), c("e")).alias("p"), "embed", tiers.reddit_wants_embed(c("a"), c("d"), c("u"), c("n"), c("i"), c("c"), c("m")).alias("q")).collect()
+    assert [(r["p"], r["q"]) for r in got] == [(r["page"], r["embed"]) for r in got]
+    x = spark.createDataFrame([("a", 1, 2, None), ("a", 1, None, 0), ("a", 1, None, None), ("a", None, 1, 1), (None, 1, 1, 1)], "a string, l int, r int, v int")
+    assert [r[0] for r in x.select(tiers.x_is_complete(c("a"), c("l"), c("r"), c("v"))).collect()] == [True, True, False, False, False]
