@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import dom, links, pages, payloads, social, state, texts
+from skein.plans import dom, links, pages, payloads, posts, social, state, texts
 
-MODULES = (links, texts, pages, dom, payloads, state, social)
+MODULES = (links, texts, pages, dom, payloads, posts, state, social)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
