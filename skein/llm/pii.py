@@ -31,7 +31,8 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 MORE_KINDS = ["contact", "number", "secret"]
 KINDS = BASE_KINDS + MORE_KINDS
 CONTEXT = 24
-EXAMPLES = 6000
+AFTER = 4
+EXAMPLES = 8000
 PRECISION = 0.99
 
 MARK, OTHER = "\u0001", "\u0002"
@@ -44,8 +45,11 @@ CONTACT_LIKE = r"(?:\G|(?<![^\s@<>,;]))[^\s@<>,;]++@[^\s@<>,;]++"
 NUMBER_LIKE = r"(?<![0-9])[+(]?[0-9][0-9 ()./-]{4,}[0-9](?![0-9])"
 #: The same without blanks, for numbers within long rows of numbers.
 COMPACT = r"(?<![0-9().\/-])[+(]?[0-9][0-9()./-]{4,}[0-9](?![0-9])"
-SECRET_LIKE = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key) ?[=:] ?\"?[^\s\"]{6,}+\"?|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
-NAMED = "(?i)password|passwd|pwd|token|secret|api[_-]?key"
+#: A named value in quotes, words behind "passphrase", another named value, or a long mixed token.
+SECRET_LIKE = r"(?i)(?:password|passwd|pwd|passphrase|secret) ?[=:] ?\"[^\"\n]{6,80}+\"|passphrase ?[=:] ?[a-z]++(?: [a-z]++){2,7}|(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key) ?[=:] ?\"?[^\s\"]{6,}+\"?|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+NAMED = "(?i)password|passwd|pwd|passphrase|token|secret|api[_-]?key"
+#: Words ahead of numbers and tokens that are public.
+REFERENCE = "isbn|issn|doi|arxiv|commit|revision|sha|md5|hash|checksum|digest|uuid|guid|version|release|build|issue|ticket|order|invoice|page|year|chapter|section|model|figure|table|rfc"
 SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
@@ -65,17 +69,17 @@ def running(xs: Column, op: Callable[[Column, Column], Column], zero: int = 0) -
 
 
 def found(text: Column, pattern: str, when: Column) -> Column:
-    """array<struct<start,end,text,before>> of all matches; before: what stands ahead of it, from the match before on at most."""
+    """array<struct<start,end,text,before,after>> of all matches; before: what stands ahead of it, from the match before on at most; after: a few characters behind it."""
     cut = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, m: F.struct(a.alias("gap"), m.alias("match")))
 
     def spans(parts: Column) -> Column:
         ends = running(F.transform(parts, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0))), lambda a, b: a + b)
         before = lambda p, i: F.lower(F.right(F.concat(F.coalesce(F.try_element_at(parts, F.greatest(i, F.lit(1)))["match"], F.lit("")), p["gap"]), F.lit(CONTEXT)))
-        heads = F.transform(parts, lambda p, i: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), F.when(i > 0, before(p, i)).otherwise(F.lower(F.right(p["gap"], F.lit(CONTEXT)))).alias("before")))
-        each = F.zip_with(heads, ends, lambda p, at: F.struct((at + F.length(p["gap"])).alias("start"), (at + F.length(p["gap"]) + F.length(p["match"])).alias("end"), p["match"].alias("text"), p["before"].alias("before")))
+        heads = F.transform(parts, lambda p, i: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), F.when(i > 0, before(p, i)).otherwise(F.lower(F.right(p["gap"], F.lit(CONTEXT)))).alias("before"), F.left(F.coalesce(F.try_element_at(parts, i + 2)["gap"], F.lit("")), F.lit(AFTER)).alias("after")))
+        each = F.zip_with(heads, ends, lambda p, at: F.struct((at + F.length(p["gap"])).alias("start"), (at + F.length(p["gap"]) + F.length(p["match"])).alias("end"), p["match"].alias("text"), p["before"].alias("before"), p["after"].alias("after")))
         return F.filter(each, lambda s: s["text"].isNotNull())
 
-    return F.when(when, let(cut, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,before:string>>"))
+    return F.when(when, let(cut, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,before:string,after:string>>"))
 
 
 def only_digits(c: Column) -> Column:
@@ -151,7 +155,7 @@ def with_spans(df: DataFrame, p: str) -> DataFrame:
 
     def proposed(kind: str, pattern: str, when: Column) -> Column:
         free = F.filter(found(at("t"), pattern, when), lambda s: rest_of(s["text"]).rlike(r"[\pL\pN]"))
-        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), s["text"].alias("text"), s["before"].alias("before")))
+        return F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("kind"), s["text"].alias("text"), s["before"].alias("before"), s["after"].alias("after")))
 
     df = df.withColumn(name("cands"), F.concat(*[proposed(*w) for w in wide]))
     return df.drop(*[name(x) for x in ("t", "has_at", "has_digit", "mail", "run", *BASE_KINDS)])
@@ -163,6 +167,8 @@ def features(c: Column) -> dict[str, Column]:
     size = lambda p: F.length(F.regexp_replace(s, p, "")).cast("double")
     digits, upper, lower = size("[^0-9]"), size("[^A-Z]"), size("[^a-z]")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    groups = F.transform(F.regexp_extract_all(s, F.lit("[0-9]+"), F.lit(0)), F.length)
+    of_groups = lambda x: F.coalesce(x, F.lit(0)).cast("double")
     return {
         **{f"is_{k}": flag(c["kind"] == KINDS.index(k)) for k in MORE_KINDS},
         "size": n,
@@ -174,9 +180,27 @@ def features(c: Column) -> dict[str, Column]:
         "hex_share": size("[^0-9a-f]") / n,
         "changes": F.size(F.regexp_extract_all(s, F.lit("[0-9]+|[A-Z]+|[a-z]+"), F.lit(0))).cast("double"),
         "separators": size("[^ ()./-]"),
+        "groups": of_groups(F.size(groups)),
+        "first_group": of_groups(F.try_element_at(groups, F.lit(1))),
+        "last_group": of_groups(F.try_element_at(groups, F.lit(-1))),
+        "longest_group": of_groups(F.array_max(groups)),
+        "shortest_group": of_groups(F.array_min(groups)),
+        "local": flag(s.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$")),
+        "social": flag(s.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
+        "abroad": flag(s.rlike("^00[1-9]?")),
+        "slash": flag(s.contains("/")),
+        "decimal": flag(s.rlike(r"^[0-9]+\.[0-9]+$")),
+        "years": flag(s.rlike(r"^(19|20)[0-9]{2} ?- ?(19|20)[0-9]{2}$")),
+        "book": flag(s.rlike(r"^97[89][- ]?[0-9]")),
+        "uuid": flag(s.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
+        "card": flag(let(only_digits(s), lambda d: F.length(d).between(14, 19) & (luhn_sum(d) % 10 == 0))),
+        "glued": flag(before.rlike(r"[\pL\pN_/=.?&#@%~-]$")),
+        "in_link": flag(before.rlike(r"[/?&]\S*$")),
+        "runs_on": flag(c["after"].rlike(r"^[\pL\pN_/@%~-]")),
+        "says_ref": flag(before.rlike(REFERENCE)),
         "starts_plus": flag(s.startswith("+")),
         "starts_key": flag(s.rlike("^(AKIA|ASIA|ghp_|sk-|xox)")),
-        "named": flag(s.rlike("(?i)^(password|passwd|pwd|token|secret|api[_-]?key)")),
+        "named": flag(s.rlike("(?i)^(password|passwd|pwd|passphrase|token|secret|api[_-]?key)")),
         "domain": flag(s.rlike(r"@[^@]+\.[A-Za-z]{2,}")),
         "date": flag(s.rlike(r"^(19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}$")),
         "says_secret": flag(before.rlike("pass|token|secret|key|auth|credential")),
@@ -192,6 +216,7 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     hexed = lambda k: F.lower(F.lpad(F.hex(F.xxhash64("id", F.lit(k))), 16, "0"))
     word = lambda k, size: F.substring(F.translate(hexed(k), "0123456789", "ghijklmnop"), 1, size)
     caps = lambda k, size: F.substring(F.translate(F.upper(F.concat(hexed(k), hexed(k + 1))), "01", "XY"), 1, size)
+    pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), F.pmod(F.xxhash64("id", F.lit(-k)), F.lit(len(xs))).cast("int") + 1)
     body = F.concat(F.lit("4"), num(1, 14))
     card = F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
     lit, cat = F.lit, F.concat
@@ -209,7 +234,10 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         cat(lit("password="), hexed(1), F.substring(hexed(2), 1, 2)),
         cat(lit("api_key: "), caps(1, 24)),
         cat(lit("secret="), word(1, 6), num(2, 4)),
-        cat(hexed(1), hexed(2), F.substring(hexed(3), 1, 8)),
+        cat(pick(5, "key ", "secret key ", "auth ", "token ", "credential "), hexed(1), hexed(2), F.substring(hexed(3), 1, 8)),
+        cat(lit('password: "'), word(1, 5), lit(" "), word(2, 4), lit(" "), word(3, 6), lit('"')),
+        cat(lit("passphrase: "), word(1, 5), lit(" "), word(2, 4), lit(" "), word(3, 6), lit(" "), word(4, 5)),
+        cat(card, lit(" "), card),
     ]
     bad = [
         cat(lit("@"), word(1, 7)),
@@ -229,6 +257,25 @@ def examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         cat(num(1, 12), num(2, 8)),
         cat(lit("token "), word(1, 9)),
         cat(num(1, 1), lit(")  ("), num(2, 1), lit("."), num(3, 2), lit(").")),
+        # what is public: links, books, papers, commits, sums, versions, years, numbers of things
+        cat(lit("https://"), word(1, 7), lit(".org/"), word(2, 3), lit("/20"), num(3, 2), lit("/"), num(4, 2), lit("/"), num(5, 5)),
+        cat(lit("https://"), word(1, 6), lit(".com/"), num(2, 4), lit("-"), num(3, 3), lit("-"), num(4, 4), lit("?id="), num(5, 9), lit("&k="), hexed(6)),
+        cat(lit("www."), word(1, 6), lit(".net/"), hexed(2), lit("/"), num(3, 3), lit("-"), num(4, 3), lit("-"), num(5, 4)),
+        cat(pick(6, "ISBN ", "isbn: ", ""), lit("978-"), num(1, 1), lit("-"), num(2, 2), lit("-"), num(3, 6), lit("-"), num(4, 1)),
+        cat(pick(6, "ISBN ", "ISSN ", "isbn "), num(1, 1), lit("-"), num(2, 4), lit("-"), num(3, 4), lit("-"), num(4, 1)),
+        cat(pick(6, "commit ", "revision ", "sha1 ", "hash "), hexed(1), hexed(2), F.substring(hexed(3), 1, 8)),
+        cat(pick(6, "md5 ", "checksum ", "digest: "), hexed(1), hexed(2)),
+        cat(hexed(1), hexed(2), F.substring(hexed(3), 1, 8)),
+        cat(pick(6, "id ", "uuid ", ""), *[cat(lit(d), F.substring(cat(hexed(4), hexed(5)), k, n)) for d, k, n in (("", 1, 8), ("-", 9, 4), ("-", 13, 4), ("-", 17, 4), ("-", 20, 12))]),
+        cat(pick(6, "id ", "uuid ", ""), num(1, 8), lit("-"), num(2, 4), lit("-4"), num(3, 3), lit("-a"), num(4, 3), lit("-"), num(5, 12)),
+        cat(pick(6, "doi ", "doi:", "DOI: ", ""), lit("10."), num(1, 4), lit("/"), num(2, 3), lit("."), num(3, 4), lit("."), num(4, 2)),
+        cat(pick(6, "arXiv ", "arXiv:", ""), num(1, 4), lit("."), num(2, 5)),
+        cat(lit("19"), num(1, 2), pick(6, "-", " - "), lit("20"), num(2, 2)),
+        cat(num(1, 1), lit("."), num(2, 9), num(3, 5)),
+        cat(pick(6, "order ", "invoice ", "ticket "), lit("20"), num(1, 2), lit("-"), num(2, 6), lit("-"), num(3, 2)),
+        cat(pick(6, "issue ", "page ", "build ", ""), num(1, 8)),
+        cat(pick(6, "version ", "release ", ""), num(1, 1), lit("."), num(2, 2), lit("."), num(3, 2), lit("."), num(4, 5)),
+        cat(lit("20"), num(1, 2), lit("-"), num(2, 2), lit("-"), num(3, 2), lit(" "), num(4, 2), lit(":"), num(5, 2)),
     ]
     which = F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(len(good) + len(bad))).cast("int")
     hint = F.element_at(F.array(*map(lit, ["", "", "", "call ", "my card ", "mail ", "key ", "phone: "])), F.pmod(F.xxhash64("id", F.lit(-2)), F.lit(8)).cast("int") + 1)
@@ -277,12 +324,14 @@ def trained(spark: SparkSession) -> tuple[Callable[[Column], Column], list[float
 
         made = materialize(examples(spark), "pii-sentences")  # else every use of the text would make it anew
         rows = with_spans(made, "_").select("id", "label", "a", "b", F.explode("_cands").alias("c"))
-        hit = (F.col("c.start") < F.col("b")) & (F.col("a") < F.col("c.end"))
-        rows = rows.select("id", F.col("c.kind").alias("kind"), (hit & (F.col("label") == 1)).cast("double").alias("label"), *[v.alias(k) for k, v in features(F.col("c")).items()])
+        common = F.least("c.end", "b") - F.greatest("c.start", "a")
+        hit = common > 0
+        # a piece of an item is no example of either kind
+        rows = rows.where(~hit | (F.col("label") == 0) | (common >= 0.7 * (F.col("b") - F.col("a")))).select("id", F.col("c.kind").alias("kind"), (hit & (F.col("label") == 1)).cast("double").alias("label"), *[v.alias(k) for k, v in features(F.col("c")).items()])
         rows = materialize(rows, "pii-examples")
         names = [c for c in rows.columns if c not in ("id", "label", "kind")]
         data = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where("id % 3 != 0"))
-        p = _as_column(GBTClassifier(maxIter=16, maxDepth=4, seed=7, labelCol="label").fit(data), names)
+        p = _as_column(GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.3, seed=7, labelCol="label").fit(data), names)
         held = rows.where("id % 3 = 0").select("kind", p(F.struct(*names)).alias("p"), "label").collect()  # a third of EXAMPLES
         _trained[key] = p, [calibrated([(r["p"], r["label"]) for r in held if r["kind"] == KINDS.index(k)]) for k in MORE_KINDS]
         drop(made, rows)
