@@ -126,7 +126,8 @@ def fallback_analysis(title: Column, description: Column, site: Column, kind: Co
     filled = lambda c: F.when(c != "", c)
 
     def run(text: Column) -> Column:
-        words = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_])({KEYWORDS})(?![A-Za-z0-9_])"), F.lit(1))
+        # split into words once: an alternation would be tried at every character
+        words = F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9_]++"), F.lit(0)), lambda w: w.isin(*KEYWORDS.split("|")))
         hashes = F.regexp_extract_all(text, F.lit("#([a-zA-Z0-9_]+)"), F.lit(1))
         own = F.array_compact(F.array(F.lower(filled(kind)), _slug(filled(site))))
         categories = F.slice(F.array_distinct(F.concat(own, F.slice(words, 1, 3))), 1, 5)
