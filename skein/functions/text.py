@@ -100,22 +100,28 @@ def remove_dot_spam(c: Column) -> Column:
     return wide_trim(let(F.regexp_replace(c, DOT_LINE, "\n"), squeeze))
 
 
-def strip_outer_quotes(c: Column) -> Column:
-    """TF5."""
+def strip_outer_quotes(c: Column, paired: bool = False) -> Column:
+    """TF5. paired: quotes at one end go only where the text holds no partner of theirs, so the last one of `key = "x"` stays."""
 
     def run(v: Column) -> Column:
+        count = lambda x, q: F.length(x) - F.length(F.replace(x, F.lit(q), F.lit("")))
         wrapped = F.lit(False)
         for a, b in (('"', '"'), ("“", "”"), ("'", "'")):
-            wrapped = wrapped | (v.startswith(a) & v.endswith(b))
+            around = v.startswith(a) & v.endswith(b)
+            wrapped = wrapped | (around & (count(v, a) <= (2 if a == b else 1)) if paired and a != "'" else around)
         inner = F.when(wrapped, wide_trim(F.substring(v, F.lit(2), F.greatest(F.length(v) - 2, F.lit(0))))).otherwise(v)
-        return wide_trim(F.regexp_replace(wide_trim(F.regexp_replace(inner, r'["”]\.?\z', "")), r'^["“]', ""))
+        bare = lambda x: wide_trim(F.regexp_replace(wide_trim(F.regexp_replace(x, r'["”]\.?\z', "")), r'^["“]', ""))
+        if not paired:
+            return bare(inner)
+        odd = lambda x: (count(x, '"') % 2 == 1) | (count(x, "“") != count(x, "”"))
+        return let(inner, lambda x: F.when(odd(x), bare(x)).otherwise(wide_trim(x)))
 
     return let(wide_trim(c), run)
 
 
-def clean_title(c: Column) -> Column:
-    """TF6; null where nothing is left."""
-    return present(remove_dot_spam(strip_outer_quotes(strip_title_affixes(unescape_html(c)))))
+def clean_title(c: Column, paired: bool = False) -> Column:
+    """TF6; null where nothing is left. paired: as in strip_outer_quotes()."""
+    return present(remove_dot_spam(strip_outer_quotes(strip_title_affixes(unescape_html(c)), paired)))
 
 
 def normalize_paragraphs(c: Column) -> Column:
@@ -126,9 +132,9 @@ def normalize_paragraphs(c: Column) -> Column:
     return wide_trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
-def clean_description(c: Column) -> Column:
-    """TF8; null where nothing is left."""
-    return present(normalize_paragraphs(remove_dot_spam(strip_outer_quotes(strip_engagement_header(unescape_html(c))))))
+def clean_description(c: Column, paired: bool = False) -> Column:
+    """TF8; null where nothing is left. paired: as in strip_outer_quotes()."""
+    return present(normalize_paragraphs(remove_dot_spam(strip_outer_quotes(strip_engagement_header(unescape_html(c)), paired))))
 
 
 def is_truncated(c: Column) -> Column:

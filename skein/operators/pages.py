@@ -45,9 +45,9 @@ def metadata(d: DataFrame, link: str = "url", source: str = "html", json_ld: boo
     metas, ld = f["metas"], f["ld"]
     m = lambda *names: html.meta(metas, *names)
     of_ld = lambda k: ld[k] if json_ld else F.lit(None).cast("string")
-    title = text.clean_title(F.coalesce(m(*_both("twitter:title")), m("property=og:title", "name=og:title"), m(*_both("title")), of_ld("title"), f["title"], f["h1"]))
+    title = text.clean_title(F.coalesce(m(*_both("twitter:title")), m("property=og:title", "name=og:title"), m(*_both("title")), of_ld("title"), f["title"], f["h1"]), paired=True)
     first_p = F.when(F.length(f["p"]) > 20, F.left(f["p"], F.lit(300)))
-    description = text.clean_description(F.coalesce(m(*_both("twitter:description")), m("property=og:description", "name=og:description"), m(*_both("description")), of_ld("description"), first_p))
+    description = text.clean_description(F.coalesce(m(*_both("twitter:description")), m("property=og:description", "name=og:description"), m(*_both("description")), of_ld("description"), first_p), paired=True)
     image = F.coalesce(
         m("property=og:image", "name=og:image", "property=og:image:secure_url", "name=og:image:secure_url"), m(*_both("twitter:image"), *_both("twitter:image:src")), m(*_both("image")), of_ld("image")
     )

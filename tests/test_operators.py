@@ -142,6 +142,18 @@ def test_saved_titles_decode_ampersands_only(spark, duck_pages):
     assert sorted(map(tuple, d.select("bookmark_id", "title").collect())) == want == [(1, "https://a.org/1"), (2, "a & &quot;b&quot;"), (7, None)]
 
 
+#: Titles and what is left of them in a page's record: an end quote goes only without its partner.
+QUOTED = {
+    "token = &quot;2abc&quot;": 'token = "2abc"', "&quot;A&quot; and &quot;B&quot;": '"A" and "B"', "&quot;Whole&quot;": "Whole", "A song&quot;": "A song", "&quot;A song": "A song", "Say “this”": "Say “this”",
+    "This”": "This", "&quot;": None,
+}
+
+
+def test_titles_keep_quotes_that_have_their_partner(spark):
+    d = spark.createDataFrame([(i, f"https://a.org/{i}", f"<title>{t}</title>") for i, t in enumerate(QUOTED)], "page_id long, url string, html string")
+    assert [r.title for r in pages.metadata(pages.parsed(d)).orderBy("page_id").collect()] == list(QUOTED.values())
+
+
 def test_extract(spark):
     d = spark.createDataFrame([(1, "http://www.a.org/x/?ref=1", PAGE), (2, "https://a.org/x", PAGE.replace("OG &amp;", "New")), (3, "https://printer.local/", PAGE), (4, "https://b.org/q", "<title>403 Forbidden</title>"), (5, "https://c.org/", PAGE)], "page_id long, url string, html string")
     rendered = spark.createDataFrame([("https://b.org/q", "<title>Real title</title><p>A paragraph of the rendered page.</p>")], "url string, html string")
