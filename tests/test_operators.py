@@ -154,6 +154,12 @@ def test_titles_keep_quotes_that_have_their_partner(spark):
     assert [r.title for r in pages.metadata(pages.parsed(d)).orderBy("page_id").collect()] == list(QUOTED.values())
 
 
+def test_pages_in_an_extract_keep_quotes_that_have_their_partner(spark):
+    d = spark.createDataFrame([(1, "https://a.org/1", "<title>token = &quot;2abc&quot;</title><p>A paragraph that ends with &quot;quotes&quot;</p>")], "page_id long, url string, html string")
+    r = pages.extract(d).first()
+    assert (r.title, r.description) == ('token = "2abc"', 'A paragraph that ends with "quotes"')
+
+
 def test_extract(spark):
     d = spark.createDataFrame([(1, "http://www.a.org/x/?ref=1", PAGE), (2, "https://a.org/x", PAGE.replace("OG &amp;", "New")), (3, "https://printer.local/", PAGE), (4, "https://b.org/q", "<title>403 Forbidden</title>"), (5, "https://c.org/", PAGE)], "page_id long, url string, html string")
     rendered = spark.createDataFrame([("https://b.org/q", "<title>Real title</title><p>A paragraph of the rendered page.</p>")], "url string, html string")
