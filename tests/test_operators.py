@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import html, net, url
-from skein.operators import library, pages, platforms, state
+from skein.operators import dom, library, pages, platforms, state
 from skein.plans.queries import oracle_sql, queries
 from skein.sources import tables
 from skein.streaming import state as stream
@@ -168,6 +168,12 @@ def test_references_without_a_semicolon_stay_in_articles():
     assert html.article_of(CUT)["content"] == "# One &< and&amp\n\nA paragraph with some more text&quot © link &#39"
 
 
+def test_references_without_a_semicolon_stay_in_the_reader_view(spark):
+    rows = dom.nodes(spark.createDataFrame([(1, CUT)], "page_id long, html string"))
+    assert rows.where("tag = 'a'").first().attrs == {"href": "/x?a=1&b=2&copy=3"}
+    assert dom.article(rows).first().content == "One &< and&amp\n\nA paragraph with some more text&quot © link &#39"
+
+
 def test_extract(spark):
     d = spark.createDataFrame([(1, "http://www.a.org/x/?ref=1", PAGE), (2, "https://a.org/x", PAGE.replace("OG &amp;", "New")), (3, "https://printer.local/", PAGE), (4, "https://b.org/q", "<title>403 Forbidden</title>"), (5, "https://c.org/", PAGE)], "page_id long, url string, html string")
     rendered = spark.createDataFrame([("https://b.org/q", "<title>Real title</title><p>A paragraph of the rendered page.</p>")], "url string, html string")
