@@ -174,6 +174,11 @@ def test_references_without_a_semicolon_stay_in_the_reader_view(spark):
     assert dom.article(rows).first().content == "One &< and&amp\n\nA paragraph with some more text&quot © link &#39"
 
 
+def test_references_without_a_semicolon_stay_in_posts(spark):
+    rows = dom.nodes(spark.createDataFrame([(1, CUT)], "page_id long, html string"))
+    assert dom.post_parts(rows).first().text == "One &< and&amp A paragraph with some more text&quot © link &#39"
+
+
 def test_extract(spark):
     d = spark.createDataFrame([(1, "http://www.a.org/x/?ref=1", PAGE), (2, "https://a.org/x", PAGE.replace("OG &amp;", "New")), (3, "https://printer.local/", PAGE), (4, "https://b.org/q", "<title>403 Forbidden</title>"), (5, "https://c.org/", PAGE)], "page_id long, url string, html string")
     rendered = spark.createDataFrame([("https://b.org/q", "<title>Real title</title><p>A paragraph of the rendered page.</p>")], "url string, html string")
