@@ -47,6 +47,8 @@ NARROW, WIDE = 32, 256
 BUCKETS, CHUNK = 1 << 16, 1 << 10
 #: Rows of one shingle that a block of the exact join holds.
 BLOCK = 2000
+#: Edges that a task contracts at once, 4 MB: what is left of so few is settled by one task, more by rounds over all.
+EDGES = 1 << 18
 _MUL = [np.uint64(x | 1) for x in np.random.default_rng(20240901).integers(0, 2**63, SIZE, dtype=np.int64).astype(np.uint64)]
 _ADD = list(np.random.default_rng(20240902).integers(0, 2**63, SIZE, dtype=np.int64).astype(np.uint64))
 
@@ -388,9 +390,52 @@ def links(pairs: DataFrame, texts: DataFrame, shingle: int, threshold_percent: i
     return map_batches(both.select("u", "v", "a", "text"), run, PAIR, "shingles")
 
 
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges, ascending, and the smallest node that each reaches by them."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(ids))
+    while True:
+        new, x, y = low.copy(), low[a], low[b]
+        np.minimum.at(new, x, y)
+        np.minimum.at(new, y, x)
+        while len(open_ := np.flatnonzero(new[new] != new)):
+            new[open_] = new[new[open_]]
+        if (new == low).all():
+            return ids, ids[low]
+        low = new
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v): the edges of each task, EDGES at a time, as stars around the smallest node that each node reaches by them; components stay the same."""
+
+    def star(t: pa.Table) -> pa.RecordBatch:
+        u, v = roots(t.column("u").to_numpy(), t.column("v").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= EDGES:
+                yield star(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield star(pa.Table.from_batches(held))
+
+    return edges.select("u", "v").mapInArrow(run, PAIR)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (its smallest node) by alternating stars; each round is a table in the shared folder."""
-    e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    """node, comp (its smallest node): tasks contract what edges they have, then alternating stars; each round is a table in the shared folder.
+    Where contraction leaves no more than a task contracts at once, one does the rest."""
+    e = materialize(contracted(edges), "edges")
+    if e.count() <= EDGES:
+        e, old = materialize(contracted(e.coalesce(1)), "edges"), e
+        drop(old)
+        return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    e, old = materialize(e.distinct(), "edges"), e
+    drop(old)
     state = None
 
     def to_least(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:

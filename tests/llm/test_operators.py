@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -669,3 +670,39 @@ def test_contamination_beyond_what_is_sent(spark, sf, docs, monkeypatch):
     want = sorted(map(repr, decontam.contamination(spark, docs, bench).collect()))
     monkeypatch.setattr(decontam, "SEND_BYTES", 0)
     assert sorted(map(repr, decontam.contamination(spark, docs, bench).collect())) == want
+
+
+def _least_reachable(edges):
+    """Node -> its smallest reachable node, by searching."""
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    out = {}
+    for start in sorted(near):
+        todo = [start] if start not in out else []
+        while todo:
+            if (n := todo.pop()) not in out:
+                out[n] = start
+                todo.extend(near[n])
+    return out
+
+
+@pytest.mark.parametrize("edges_at_once", [neardup.EDGES, 50])
+def test_components_of_long_paths_and_crowds(spark, monkeypatch, edges_at_once):
+    """Few edges are contracted in two tables, where each round of stars wrote four; more still go through the rounds."""
+    r = random.Random(11)
+    ids = r.sample(range(10**9), 1500)
+    pairs = [(ids[i], ids[i + 1]) for i in range(700)] + [(ids[800], i) for i in ids[801:1200]] + [(ids[r.randrange(1200, 1500)], ids[r.randrange(1200, 1500)]) for _ in range(150)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    r.shuffle(pairs)
+    made, write = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda d, name: made.append(name) or write(d, name))
+    monkeypatch.setattr(neardup, "EDGES", edges_at_once)
+    got = neardup.components(spark.createDataFrame(pairs, "u long, v long").repartition(7)).collect()
+    assert {r["node"]: r["comp"] for r in got} == _least_reachable(pairs) and len(got) == len(_least_reachable(pairs))
+    assert len(made) == 2 if edges_at_once > len(pairs) else len(made) > 2
+
+
+def test_components_without_edges(spark):
+    assert neardup.components(spark.createDataFrame([], "u long, v long")).count() == 0
