@@ -12,14 +12,14 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.numeric import parse_count_floor, sanitize_metrics
-from skein.functions.strings import group, has_any, let, present, reading_minutes, word_count
+from skein.functions.strings import group, has_any, let, present, reading_minutes, wide_trim, word_count
 from skein.functions.text import clean_media_url
 from skein.session import ship
 
 # ---- JF5 ----
 
 #: Whole strings, single brackets, and runs of anything else; together they are the text. An opened string that never ends is one character.
-TOKENS = r'"(?:[^"\\]|\\.)*+"|[\[\]{}]|[^"\[\]{}]++|"'
+TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]|[^"\[\]{}]++|"'
 NO_SPANS = "array<struct<start: int, size: int>>"
 
 
@@ -34,13 +34,16 @@ def _after(c: Column, keys: tuple[str, ...]) -> Column:
     def behind(k: str):
         return lambda x: F.when(F.locate(k, x) > 0, F.substring(x, F.locate(k, x) + len(k), F.length(x)))
 
+    def plain(rest: Column) -> Column:
+        # a backslash before the key's closing quote says that a level of escapes is on, three say two
+        marks = F.length(F.regexp_extract(rest, r'^(\\*)"', 1))
+        return let(marks, lambda m: F.when(m >= 3, unescaped(unescaped(rest))).when(m >= 1, unescaped(rest)).otherwise(rest))
+
     rest = c
     for k in keys:
         rest = let(rest, behind(k))
-    # a backslash before the key's closing quote says that a level of escapes is on, three say two
-    marks = F.length(F.regexp_extract(rest, r'^(\\*)"', 1))
-    plain = F.when(marks >= 3, unescaped(unescaped(rest))).when(marks >= 1, unescaped(rest)).otherwise(rest)
-    return let(plain, lambda x: F.when(F.locate("[", x) > 0, F.substring(x, F.locate("[", x), F.length(x))))
+    # each step is a let, so that none is evaluated again for every place where the next one reads it
+    return let(let(rest, plain), lambda x: F.when(F.locate("[", x) > 0, F.substring(x, F.locate("[", x), F.length(x))))
 
 
 def array_items(c: Column, *keys: str) -> Column:
@@ -62,7 +65,9 @@ def array_items(c: Column, *keys: str) -> Column:
             following = F.struct(depth.alias("depth"), (s["at"] + F.length(t)).alias("at"), begun.alias("start"), spans.alias("spans"), (down & (depth == 0)).alias("closed"))
             return F.when(s["closed"], s).otherwise(following)
 
-        cut = lambda s: F.struct(F.transform(s["spans"], lambda x: F.trim(F.regexp_replace(F.substring(text, x["start"], x["size"]), r"^\s*,|,\s*$", ""))).alias("items"), s["closed"].alias("closed"))
+        # an element in brackets is cut at these, others with the commas and blanks around them
+        bare = lambda x: F.when(x.startswith("{") | x.startswith("["), x).otherwise(F.trim(F.regexp_replace(x, r"^\s*,|,\s*$", "")))
+        cut = lambda s: F.struct(F.transform(s["spans"], lambda x: let(F.substring(text, x["start"], x["size"]), bare)).alias("items"), s["closed"].alias("closed"))
         return F.when(text.isNotNull(), F.aggregate(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), start, step, cut))
 
     return let(_after(c, keys), run)
@@ -127,16 +132,20 @@ def timeline_media(html: Column, most: int = 6) -> Column:
 
 def carousel(embed: Column) -> Column:
     """JF5: array of type and url of the media of an embedded carousel, also of one whose payload is cut off."""
-    items = array_items(embed, "edge_sidecar_to_children", "edges")["items"]
+    return media_of(array_items(embed, "edge_sidecar_to_children", "edges")["items"])
+
 
-    def media(item: Column) -> Column:
-        v = F.try_parse_json(item)
+def media_of(items: Column) -> Column:
+    """JF5: array of type and url of the media of the items of a carousel, given as JSON; each item is parsed once."""
+
+    def read(v: Column) -> Column:
         text = lambda k: F.try_variant_get(v, f"$.node.{k}", "string")
-        film = present(F.when(F.coalesce(F.try_variant_get(v, "$.node.is_video", "boolean"), F.lit(False)), text("video_url")))
-        url = clean_media_url(F.coalesce(film, text("display_url")))
-        return F.when(url.isNotNull(), F.struct(F.when(film.isNotNull(), "video").otherwise("image").alias("type"), url.alias("url")))
+        return F.struct(F.coalesce(F.try_variant_get(v, "$.node.is_video", "boolean"), F.lit(False)).alias("is_video"), text("video_url").alias("film"), text("display_url").alias("image"))
+
+    def media(r: Column) -> Column:
+        return let(F.when(r["is_video"], wide_trim(r["film"])), lambda f: let(F.nullif(f, F.lit("")), lambda film: let(clean_media_url(F.coalesce(film, r["image"])), lambda url: F.when(url.isNotNull(), F.struct(F.when(film.isNotNull(), "video").otherwise("image").alias("type"), url.alias("url"))))))
 
-    return F.array_compact(F.transform(F.coalesce(items, F.array().cast("array<string>")), media))
+    return F.array_compact(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda item: let(let(F.try_parse_json(item), read), media)))
 
 
 # ---- JF6, JF7: rules in order ----

@@ -35,7 +35,7 @@ def carousels(spark: SparkSession, sf: str) -> DataFrame:
     item = F.to_json(F.struct(F.struct(F.concat(F.lit("https://c.example/"), "id").alias("display_url"), "text", F.lit("]}[{").alias("mark")).alias("node")))
     d = _docs(spark, sf).select("id", F.concat(F.lit(r'\"edge_sidecar_to_children\":{\"edges\":['), _escaped(F.concat(item, F.lit(","), item)), F.lit("]} [")).alias("raw"))
     d = d.unionByName(spark.createDataFrame([r[:2] for r in EMBEDS], "id long, raw string").coalesce(1))
-    d = d.withColumn("found", payload.array_items(F.col("raw"), "edge_sidecar_to_children", "edges")).withColumn("media", payload.carousel(F.col("raw")))
+    d = d.withColumn("found", payload.array_items(F.col("raw"), "edge_sidecar_to_children", "edges")).withColumn("media", payload.media_of(F.col("found.items")))
     text = F.get_json_object(F.try_element_at("found.items", F.lit(1)), "$.node.text")
     return d.select(
         "id", F.coalesce(F.size("found.items"), F.lit(0)).cast("long").alias("items"), F.sha2(F.when(F.col("id") >= 0, text), 256).alias("text_sha256"),

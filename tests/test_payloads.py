@@ -58,6 +58,22 @@ def test_array_items_equal_a_parser(spark):
         assert (None if x is None else ([json.loads(i) for i in x["items"]], x["closed"])) == want[row["id"]], rows[row["id"]]
 
 
+def test_each_item_of_a_carousel_is_parsed_once(spark):
+    """Expressions that read another one several times must not repeat it: their number would multiply with every step."""
+    d = spark.createDataFrame([(1, "x")], "id long, raw string").select(payload.carousel(F.col("raw")).alias("m"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("edge_sidecar_to_children") <= 3
+
+
+def test_media_of_carousels(spark):
+    rows = [
+        '{"node": {"is_video": true, "video_url": " https://c.example/v.mp4 ", "display_url": "d"}}', '{"node": {"is_video": true, "video_url": "  ", "display_url": "d"}}', '{"node": {"is_video": false, "video_url": "v", "display_url": "d"}}',
+        '{"node": {"is_video": "yes", "display_url": " "}}', '{"node": {"video_url": "v"}}', '{"node": 7}', "null", "no json", None,
+    ]
+    got = spark.createDataFrame([(rows,), (None,), ([],)], "items array<string>").coalesce(1).select(payload.media_of(F.col("items")).alias("m")).collect()
+    assert [[tuple(x) for x in r.m] for r in got] == [[("video", "https://c.example/v.mp4"), ("image", "d"), ("image", "d")], [], []]
+
+
 def test_keys_at_any_depth_equal_a_walk(spark):
     def walk(v, path="$"):
         if isinstance(v, dict):
