@@ -93,11 +93,11 @@ def merged_tiers(static: DataFrame, rendered: DataFrame, link: str = "url") -> D
 def extract(pages: DataFrame, rendered: DataFrame | None = None, dns: DataFrame | None = None, cached: DataFrame | None = None) -> DataFrame:
     """EX0, EX1, ST6, ST7: one record for each canonical link of pages (page_id, url, html), that of the largest page_id.
 
-    Unsafe links give no record: internal hosts, and with a dns table (host, ip) also those without an address or with one that is not public. rendered
+    Pages without page_id give no record and stand for no link. Unsafe links give no record: internal hosts, and with a dns table (host, ip) also those without an address or with one that is not public. rendered
     (url, html) is the tier for pages whose own HTML is unusable. cached (canonical) holds links that need no new record.
     `admitted`: whether the record may be cached."""
     u = F.col("url")
-    d = pages.select("page_id", u, "html").withColumn("host", url.host_of(u)).where(F.col("host").isNotNull() & ~net.is_internal_host(F.col("host")) & (F.length(u) <= net.MAX_URL))
+    d = pages.select("page_id", u, "html").withColumn("host", url.host_of(u)).where(F.col("page_id").isNotNull() & F.col("host").isNotNull() & ~net.is_internal_host(F.col("host")) & (F.length(u) <= net.MAX_URL))
     if dns is not None:
         known = addresses(dns).where("not any_private").select("host")
         d = d.join(known, "host", "left_semi")

@@ -160,6 +160,12 @@ def test_pages_in_an_extract_keep_quotes_that_have_their_partner(spark):
     assert (r.title, r.description) == ('token = "2abc"', 'A paragraph that ends with "quotes"')
 
 
+def test_pages_without_an_id_give_no_record(spark):
+    rows = [(1, "https://a.org/1", "<title>One</title>"), (None, "https://a.org/1", "<title>Other</title>"), (None, "https://a.org/2", "<title>Two</title>")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [tuple(r) for r in pages.extract(d).select("page_id", "canonical", "title").collect()] == [(1, "https://a.org/1", "One")]
+
+
 #: A page whose title, heading and post end within a reference, as titles that were cut after escaping do.
 CUT = "<body><main><article><h1>One &amp;&lt; and&amp</h1><p>A paragraph with some more text&quot <a href='/x?a=1&amp;b=2&copy=3'>&copy; link &#39</a></p></article></main></body>"
 
