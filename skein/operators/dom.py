@@ -243,7 +243,9 @@ def main_post(n: DataFrame, key: str = "page_id") -> DataFrame:
 
 def in_main_post(n: DataFrame, key: str = "page_id") -> DataFrame:
     """The nodes of the main post without those of related posts, with `post` and `rule`."""
-    return without(n, related(), key).join(main_post(n, key), key).where((F.col("node") >= F.col("post")) & (F.col("node") <= F.col("post_last")))
+    post = main_post(n, key).withColumnRenamed(key, "_key")
+    own = F.col(key).eqNullSafe(F.col("_key"))  # a page without a key has its post too
+    return without(n, related(), key).join(post, own).where((F.col("node") >= F.col("post")) & (F.col("node") <= F.col("post_last"))).drop("_key")
 
 
 def post_parts(n: DataFrame, key: str = "page_id") -> DataFrame:

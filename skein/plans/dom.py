@@ -38,12 +38,13 @@ EXPECTED = [
 
 def _nodes(spark: SparkSession, sf: str, rows: list[tuple]) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "html").unionByName(spark.createDataFrame(rows, "page_id long, html string").coalesce(1))
-    return materialize(dom.nodes(pages), "page-nodes")
+    # rows are told apart by a number of their own: a page_id may be null or repeated
+    return materialize(dom.nodes(pages.select(F.struct("page_id", F.monotonically_increasing_id().alias("row")).alias("page"), "html"), "page"), "page-nodes")
 
 
 def readable_article(spark: SparkSession, sf: str) -> DataFrame:
-    d = dom.article(_nodes(spark, sf, ARTICLES))
-    return d.select("page_id", "container", F.round("score", 6).alias("score"), F.col("parts").cast("long").alias("parts"), F.sha2("content", 256).alias("content_sha256"), "words", "minutes", F.round("link_density", 6).alias("link_density"), "readable")
+    d = dom.article(_nodes(spark, sf, ARTICLES), "page")
+    return d.select("page.page_id", "container", F.round("score", 6).alias("score"), F.col("parts").cast("long").alias("parts"), F.sha2("content", 256).alias("content_sha256"), "words", "minutes", F.round("link_density", 6).alias("link_density"), "readable")
 
 
 #: page_id, HTML: a post in a feed, cards without an article, related posts in and beside the post.
@@ -59,8 +60,8 @@ POSTS_EXPECTED = [(-1, 0, "Mine bold", "a.png,c.png"), (-2, 1, "Card", ""), (-3,
 
 
 def main_posts(spark: SparkSession, sf: str) -> DataFrame:
-    d = dom.post_parts(_nodes(spark, sf, POSTS))
-    return d.select("page_id", "rule", F.sha2("text", 256).alias("text_sha256"), F.array_join("images", ",").alias("images"))
+    d = dom.post_parts(_nodes(spark, sf, POSTS), "page")
+    return d.select("page.page_id", "rule", F.sha2("text", 256).alias("text_sha256"), F.array_join("images", ",").alias("images"))
 
 
 _FLAT = lambda x: f"regexp_replace({x}, '\\s+', ' ', 'g')"

@@ -185,6 +185,23 @@ def test_references_without_a_semicolon_stay_in_posts(spark):
     assert dom.post_parts(rows).first().text == "One &< and&amp A paragraph with some more text&quot © link &#39"
 
 
+def test_pages_without_an_id_have_their_post(spark):
+    rows = dom.nodes(spark.createDataFrame([(1, "<article>One</article>"), (None, "<article>Two</article>")], "page_id long, html string"))
+    assert sorted(dom.post_parts(rows).select("text", "page_id").collect()) == [("One", 1), ("Two", None)]
+
+
+@pytest.mark.parametrize("name", ["main_posts", "readable_article"])
+def test_queries_tell_pages_of_one_id_apart(spark, sf, tmp_path, name):
+    page = "<html><body><div class='ad'>Ad.</div><article><h1>%s</h1><p>A paragraph, with commas, of this page alone.</p></article></body></html>"
+    rows = [(i, f"https://a.org/{t}", page % t) for i, t in ((1, "One"), (2, "Two"), (2, "Three"), (None, "Four"), (None, "Five"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    d = queries()[name](spark, str(tmp_path))
+    want = con.sql(oracle_sql()[name])
+    assert sorted(map(repr, (tuple(r) for r in d.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_extract(spark):
     d = spark.createDataFrame([(1, "http://www.a.org/x/?ref=1", PAGE), (2, "https://a.org/x", PAGE.replace("OG &amp;", "New")), (3, "https://printer.local/", PAGE), (4, "https://b.org/q", "<title>403 Forbidden</title>"), (5, "https://c.org/", PAGE)], "page_id long, url string, html string")
     rendered = spark.createDataFrame([("https://b.org/q", "<title>Real title</title><p>A paragraph of the rendered page.</p>")], "url string, html string")
