@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,6 +47,13 @@ def keep_cache(name: str | None) -> None:
             empty()
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system; idle workers would keep it beside those that work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Bytes of text that a function of map_batches() sees at once, beside a single longer text.
 PIECE_BYTES = 8 << 20
 
@@ -68,6 +77,8 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
             for part in _pieces(b) if b.num_rows else ():
                 if (out := f(part)) is not None and out.num_rows:
                     yield out
+            b = part = out = None  # not kept beside the next batch, nor at the end
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -47,6 +47,8 @@ NARROW, WIDE = 32, 256
 BUCKETS, CHUNK = 1 << 16, 1 << 10
 #: Rows of one shingle that a block of the exact join holds.
 BLOCK = 2000
+#: Words whose hashes a worker keeps, some 20 MB; each worker of an executor has its own.
+WORDS = 1 << 17
 #: Edges that a task contracts at once, 4 MB: what is left of so few is settled by one task, more by rounds over all.
 EDGES = 1 << 18
 _MUL = [np.uint64(x | 1) for x in np.random.default_rng(20240901).integers(0, 2**63, SIZE, dtype=np.int64).astype(np.uint64)]
@@ -57,7 +59,7 @@ class _Hashes(dict):
     """Word -> 64-bit hash; emptied when it grows large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= WORDS:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -484,8 +486,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, thre
     near = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "far")).groupBy("u").agg(F.min("v").alias("low"), F.min(F.struct("far", "v")).alias("best"))
     first = near.select("u", F.explode(F.array("low", "best.v")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = materialize(first, "pairs")
-    comps = materialize(components(links(first, nodes, shingle, threshold_percent)), "components")
-    drop(found)
+    # written before they are contracted: one stage of both would need two Python workers a core
+    sure = materialize(links(first, nodes, shingle, threshold_percent), "links")
+    comps = materialize(components(sure), "components")
+    drop(found, sure)
 
     def with_more(comps: DataFrame, more: DataFrame) -> DataFrame:
         """Components with more links, given between nodes."""

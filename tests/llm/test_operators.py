@@ -706,3 +706,16 @@ def test_components_of_long_paths_and_crowds(spark, monkeypatch, edges_at_once):
 
 def test_components_without_edges(spark):
     assert neardup.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_workers_keep_few_words():
+    neardup.shingle_set(b" ".join(b"w%d" % i for i in range(200_000)), 4)
+    assert len(neardup._HASHES) <= 1 << 17
+
+
+def test_no_stage_compares_sets_and_contracts_edges_at_once(spark, monkeypatch):
+    plans, real = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or real(e))
+    d = spark.createDataFrame([(i, "one two three four five six seven eight nine ten" + x) for i, x in enumerate(("", " a", " b"))], "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(spark, d, shingle=4).collect()} == {0}
+    assert plans and not any("MapInArrow" in p for p in plans)
